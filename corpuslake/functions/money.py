@@ -73,3 +73,22 @@ def slug_words(value: Column, fallback: str = "") -> Column:
 
 def quote_number(proposal_id: Column, day: Column, prefix: str = "Q") -> Column:
     return F.concat_ws("-", F.lit(prefix), F.date_format(day, "yyyyMMdd"), F.upper(F.substring(proposal_id, 1, 6)))
+
+
+def float_round(value: Column, digits: int) -> Column:
+    """Round a double to ``digits`` decimals by its exact binary value, ties to even.
+
+    ``bround`` rounds the shortest decimal text of a double, which turns 1.05 into a tie it
+    is not.  The product with the power of ten is therefore split into its rounded part and
+    the exact remainder, and the remainder decides apparent ties.
+    """
+    x = value.cast("double")
+    s = F.lit(float(10 ** digits))
+    p = x * s
+    c = x * F.lit(134217729.0)
+    high = c - (c - x)
+    rest = (high * s - p) + (x - high) * s
+    low = F.floor(p).cast("double")
+    half = p - low
+    up = (half > 0.5) | ((half == 0.5) & ((rest > 0) | ((rest == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))))
+    return (low + F.when(up, 1.0).otherwise(0.0)) / s
