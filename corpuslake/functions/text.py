@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed_values as fv
 
@@ -51,7 +52,7 @@ def has_any_word(value: Column, keys: Iterable[str]) -> Column:
     return value.rlike(rf"{I}(?<!\w)(?:{bodies})(?:e?s)?(?!\w)")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import text as tx
 from ..functions.markup import extract_page
-from ..sources.schemas import MANIFEST
+from ..sources.schemas import MANIFEST_COLUMNS
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -86,7 +86,7 @@ def clean_pages(raw: DataFrame, title_suffix: str = "", thin_below: int = fv.THI
 
 def manifest(results: DataFrame, carried: DataFrame) -> DataFrame:
     """This run's rows and the carried ones, the latter marked skipped."""
-    columns = MANIFEST.fieldNames()
+    columns = MANIFEST_COLUMNS
     return results.select(*columns).unionByName(
         carried.withColumn("status", F.lit("skipped")).select(*columns))
 

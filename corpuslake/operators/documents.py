@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..functions import sequences as sq
@@ -135,7 +136,12 @@ def _windows(text: str, needle: str) -> list[dict]:
     return spans
 
 
-@F.pandas_udf("array<struct<start:int,end:int,hit:int,page:string>>")
+_SPANS = T.ArrayType(T.StructType([
+    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+    T.StructField("hit", T.IntegerType()), T.StructField("page", T.StringType())]))
+
+
+@F.pandas_udf(_SPANS)
 def _excerpt_spans(texts: pd.Series, needles: pd.Series) -> pd.Series:
     out = []
     for text, needle in zip(texts, needles):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
@@ -101,7 +100,7 @@ def recent_records(traces: DataFrame, limit: int | None = None) -> DataFrame:
     return kept.orderBy(F.col("ts").asc_nulls_first())
 
 
-def read_cases(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Evaluation cases; an absent file is an empty set."""
     try:
         return spark.read.schema(schema).json(path)

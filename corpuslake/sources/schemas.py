@@ -1,25 +1,19 @@
-"""Explicit schemas of the tables the jobs read and write."""
+"""Explicit schemas (DDL) of the tables the jobs read and write."""
 
-from pyspark.sql.types import StructType
-
-MANIFEST = StructType.fromDDL(
+MANIFEST = (
     "url string, title string, slug string, lastmod string, crawled_at string, "
     "content_hash string, text_len int, status string, error string")
-GOLD = StructType.fromDDL(
-    "id string, q string, expect string, slug string, axis string, paraphrase_of string")
-TRACE = StructType.fromDDL(
+MANIFEST_COLUMNS = [field.split()[0] for field in MANIFEST.split(", ")]
+GOLD = "id string, q string, expect string, slug string, axis string, paraphrase_of string"
+TRACE = (
     "ts string, session_id string, path string, model string, latency_ms int, prompt_tokens int, "
     "completion_tokens int, total_tokens int, tool_calls array<string>, error string, "
     "is_grounded boolean, confidence double, guardrail_reason string, cost_usd double")
-POLICY_CASE = StructType.fromDDL("id string, input string, expected string, category string")
-REQUIREMENTS = StructType.fromDDL(
-    "target_platform array<string>, features array<string>, constraints array<string>, tech_stack array<string>")
-CLAIM_CASE = StructType.fromDDL(
-    f"file string, brief_words array<string>, requirements struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in REQUIREMENTS)}>")
-CHUNK = StructType.fromDDL(
+POLICY_CASE = "id string, input string, expected string, category string"
+CLAIM_CASE = (
+    "file string, brief_words array<string>, requirements struct<target_platform:array<string>,"
+    "features:array<string>,constraints:array<string>,tech_stack:array<string>>")
+CHUNK = (
     "id string, slug string, url string, title string, text string, score double, "
     "chunk_index int, total_chunks int")
-BASELINE = StructType.fromDDL(
-    "id string, rank int, gold_score double, top1_score double, embed_model string, fingerprint string")
-ANSWER = StructType.fromDDL(
-    "answer string, citations array<struct<url:string,title:string>>, is_grounded boolean, confidence double")
+BASELINE = "id string, rank int, gold_score double, top1_score double, embed_model string, fingerprint string"
