@@ -61,7 +61,7 @@ def mrr(results: DataFrame, k: int = 5) -> DataFrame:
 def divergent_pairs(results: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
     """(base, twin) paraphrase pairs of which exactly one side hits."""
     hits = results.select("id", is_hit(k).alias("hit"))
-    pairs = cases.filter(F.coalesce("paraphrase_of", F.lit("")) != "").select(
+    pairs = cases.filter(F.coalesce(F.col("paraphrase_of").cast("string"), F.lit("")) != "").select(
         F.col("id").alias("twin"), F.col("paraphrase_of").alias("base"))
     both = (pairs.join(hits.withColumnsRenamed({"id": "twin", "hit": "twin_hit"}), "twin")
             .join(hits.withColumnsRenamed({"id": "base", "hit": "base_hit"}), "base"))

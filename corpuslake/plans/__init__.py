@@ -1,0 +1,14 @@
+"""Named queries over the driver tables."""
+
+from importlib import import_module
+
+MODULES = ("retrieval_queries", "telemetry_queries", "document_queries")
+
+
+def load_catalog():
+    """Import every query module and return (queries, SQL forms)."""
+    from . import base
+
+    for module in MODULES:
+        import_module(f"{__name__}.{module}")
+    return base.QUERIES, base.ORACLES
