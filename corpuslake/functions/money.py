@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +77,11 @@ def quote_number(proposal_id: Column, day: Column, prefix: str = "Q") -> Column:
     return F.concat_ws("-", F.lit(prefix), F.date_format(day, "yyyyMMdd"), F.upper(F.substring(proposal_id, 1, 6)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def float_round(value: Column, digits: int) -> Column:
     """Round a double to ``digits`` decimals by its exact binary value, ties to even.
 
@@ -82,13 +89,17 @@ def float_round(value: Column, digits: int) -> Column:
     is not.  The product with the power of ten is therefore split into its rounded part and
     the exact remainder, and the remainder decides apparent ties.
     """
-    x = value.cast("double")
     s = F.lit(float(10 ** digits))
-    p = x * s
-    c = x * F.lit(134217729.0)
-    high = c - (c - x)
-    rest = (high * s - p) + (x - high) * s
-    low = F.floor(p).cast("double")
-    half = p - low
-    up = (half > 0.5) | ((half == 0.5) & ((rest > 0) | ((rest == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))))
-    return (low + F.when(up, 1.0).otherwise(0.0)) / s
+
+    def split(x: Column) -> Column:
+        c = x * F.lit(134217729.0)
+        return F.struct(x.alias("x"), (x * s).alias("p"), (c - (c - x)).alias("high"))
+
+    def decide(v: Column) -> Column:
+        low = F.floor(v["p"]).cast("double")
+        half = v["p"] - low
+        rest = (v["high"] * s - v["p"]) + (v["x"] - v["high"]) * s
+        up = (half > 0.5) | ((half == 0.5) & ((rest > 0) | ((rest == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))))
+        return (low + F.when(up, 1.0).otherwise(0.0)) / s
+
+    return let(let(value.cast("double"), split), decide)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,12 @@ def estimate_weeks(given: Column, features: Column, complexity: Column) -> Colum
         mn.float_round((F.lit(4.0) + count * 1.3) * factor, 1))
 
 
+def _item(role: str, hours: Column, rate: Column) -> Column:
+    return mn.let(F.struct(hours.alias("hours"), rate.alias("rate")), lambda v: F.struct(
+        F.lit(role).alias("role"), v["hours"].alias("hours"), v["rate"].alias("rate"),
+        mn.float_round(v["hours"] * v["rate"], 2).alias("cost")))
+
+
 def add_on_items(text: Column, weeks: Column, target: Column, pesos_per_dollar: float = fv.PESOS_PER_DOLLAR) -> Column:
     """Array of add-on line items whose keys occur in the text as whole words."""
     asked = {code: tx.has_any_word(text, keys) for code, _, _, _, _, keys in fv.ADD_ONS}
@@ -49,9 +57,7 @@ def add_on_items(text: Column, weeks: Column, target: Column, pesos_per_dollar:
         rate = mn.convert_currency(F.lit(php), F.lit("PHP"), target, pesos_per_dollar).cast("double")
         hours = F.lit(float(least)) if weekly is None else F.greatest(
             F.lit(float(least)), mn.float_round(weeks * float(weekly), 1))
-        items.append(F.when(asked[code], F.struct(
-            F.lit(role).alias("role"), hours.alias("hours"), rate.alias("rate"),
-            mn.float_round(hours * rate, 2).alias("cost"))))
+        items.append(F.when(asked[code], _item(role, hours, rate)))
     return F.array_compact(F.array(*items))
 
 
@@ -62,8 +68,7 @@ def base_items(weeks: Column, target: Column, pesos_per_dollar: float = fv.PESOS
     for role, weekly in fv.BASE_STAFFING:
         rate = mn.convert_currency(F.lit(card[role]), F.lit("PHP"), target, pesos_per_dollar).cast("double")
         hours = weeks * float(weekly)
-        items.append(F.struct(F.lit(role).alias("role"), hours.alias("hours"), rate.alias("rate"),
-                              mn.float_round(hours * rate, 2).alias("cost")))
+        items.append(_item(role, hours, rate))
     return F.array(*items)
 
 
@@ -109,46 +114,70 @@ def phase_cap(complexity: Column) -> Column:
 
 def clamp_phases(phases: Column, cap: Column) -> Column:
     """Fold phases 2, 3, ... together until ``cap`` remain (never below two)."""
-    merges = F.greatest(F.lit(0), F.least(F.size(phases) - cap, F.size(phases) - 2))
-    folded = F.slice(phases, F.lit(2), merges + 1)
-    weeks = F.aggregate(folded, F.lit(0.0), lambda acc, p: mn.float_round(acc + p["duration_weeks"], 1))
-    merged = _phase(F.get(folded, F.lit(0))["phase_name"], weeks,
-                    F.flatten(F.transform(folded, lambda p: p["milestones"])))
-    rest = F.slice(phases, merges + 3, F.greatest(F.size(phases), F.lit(1)))
-    return F.when(merges > 0, F.concat(F.slice(phases, 1, 1), F.array(merged), rest)).otherwise(phases)
+    def fold(v: Column) -> Column:
+        every, merges = v["phases"], v["merges"]
+        folded = F.slice(every, F.lit(2), merges + 1)
+        weeks = F.aggregate(folded, F.lit(0.0), lambda acc, p: mn.float_round(acc + p["duration_weeks"], 1))
+        merged = _phase(F.get(every, F.lit(1))["phase_name"], weeks,
+                        F.flatten(F.transform(folded, lambda p: p["milestones"])))
+        rest = F.slice(every, merges + 3, F.greatest(F.size(every), F.lit(1)))
+        return F.when(merges > 0, F.concat(F.slice(every, 1, 1), F.array(merged), rest)).otherwise(every)
+
+    def measured(every: Column) -> Column:
+        return F.struct(every.alias("phases"), F.greatest(F.lit(0), F.least(
+            F.size(every) - cap, F.size(every) - 2)).alias("merges"))
+
+    return mn.let(mn.let(phases, measured), fold)
+
+
+def _quick_phases(features: Column, weeks: Column) -> Column:
+    def both(half: Column) -> Column:
+        return F.array(
+            _phase(F.lit("Phase 1: Discovery & Rapid Implementation"), half, F.array(
+                F.lit("Architecture & Specs"),
+                F.concat(F.lit("Core Deliverables: "), F.array_join(F.slice(features, 1, 2), ", ")))),
+            _phase(F.lit("Phase 2: QA, Acceptance & Deployment"), half, F.array(
+                F.lit("End-to-End Testing"), F.lit("Production Launch & Handoff"))))
+
+    return mn.let(mn.float_round(weeks * 0.5, 1), both)
+
+
+def _full_phases(chunks: Column, weeks: Column) -> Column:
+    def development(chunk: Column, i: Column, each: Column) -> Column:
+        title = mn.let(F.array_join(F.slice(chunk, 1, 2), " & "),
+                       lambda t: F.when(F.length(t) > 45, _cut_at_word(t, 45)).otherwise(t))
+        return _phase(F.concat(F.lit("Phase "), (i + 2).cast("string"), F.lit(": Development — "), title), each,
+                      F.transform(F.slice(chunk, 1, 4), lambda f: F.concat(F.lit("Deliverable: "), f)))
+
+    def build(v: Column) -> Column:
+        edge, each, parts = v["edge"], v["each"], v["chunks"]
+        first = _phase(F.lit("Phase 1: Discovery, Strategy & System Architecture"), edge, F.array(
+            F.lit("Technical Architecture Specification"), F.lit("UI/UX Wireframes & Project Roadmap")))
+        last = _phase(F.concat(F.lit("Phase "), (F.size(parts) + 2).cast("string"),
+                               F.lit(": QA, Security Audit & Production Launch")), edge, F.array(
+            F.lit("End-to-End QA Regression Testing"), F.lit("Security Audit & Performance Optimization"),
+            F.lit("Production Deployment & Handoff")))
+        return F.concat(F.array(first), F.transform(parts, lambda c, i: development(c, i, each)), F.array(last))
+
+    def sized(parts: Column) -> Column:
+        each = F.greatest(F.lit(0.5), F.greatest(F.lit(1.0), weeks * 0.7) / F.greatest(F.lit(1), F.size(parts)))
+        return F.struct(parts.alias("chunks"), mn.float_round(each, 1).alias("each"),
+                        mn.float_round(F.greatest(F.lit(0.5), weeks * 0.15), 1).alias("edge"))
+
+    return mn.let(mn.let(chunks, sized), build)
 
 
 def build_phases(features: Column, weeks: Column, complexity: Column) -> Column:
     """Phase array of a project from its cleaned feature names, weeks and complexity."""
-    n = F.size(features)
-    cap = phase_cap(complexity)
-    half = mn.float_round(weeks * 0.5, 1)
-    quick = F.array(
-        _phase(F.lit("Phase 1: Discovery & Rapid Implementation"), half, F.array(
-            F.lit("Architecture & Specs"),
-            F.concat(F.lit("Core Deliverables: "), F.array_join(F.slice(features, 1, 2), ", ")))),
-        _phase(F.lit("Phase 2: QA, Acceptance & Deployment"), half, F.array(
-            F.lit("End-to-End Testing"), F.lit("Production Launch & Handoff"))))
-    edge = mn.float_round(F.greatest(F.lit(0.5), weeks * 0.15), 1)
-    step = F.greatest(F.lit(1), F.ceil(n / F.greatest(F.lit(1), cap - 2))).cast("int")
-    chunks = F.transform(F.sequence(F.lit(1), n, step), lambda a: F.slice(features, a, step))
-    each = mn.float_round(F.greatest(F.lit(0.5), F.greatest(F.lit(1.0), weeks * 0.7)
-                                     / F.greatest(F.lit(1), F.size(chunks))), 1)
-
-    def development(chunk: Column, i: Column) -> Column:
-        title = F.array_join(F.slice(chunk, 1, 2), " & ")
-        title = F.when(F.length(title) > 45, _cut_at_word(title, 45)).otherwise(title)
-        return _phase(F.concat(F.lit("Phase "), (i + 2).cast("string"), F.lit(": Development — "), title), each,
-                      F.transform(F.slice(chunk, 1, 4), lambda f: F.concat(F.lit("Deliverable: "), f)))
+    def plan(v: Column) -> Column:
+        names, span, cap = v["features"], v["weeks"], v["cap"]
+        step = F.greatest(F.lit(1), F.ceil(F.size(names) / F.greatest(F.lit(1), cap - 2))).cast("int")
+        chunks = mn.let(step, lambda n: F.transform(
+            F.sequence(F.lit(1), F.size(names), n), lambda a: F.slice(names, a, n)))
+        full = clamp_phases(_full_phases(chunks, span), cap)
+        return F.when((F.size(names) <= 2) & (span <= 4.0), _quick_phases(names, span)).otherwise(full)
 
-    first = _phase(F.lit("Phase 1: Discovery, Strategy & System Architecture"), edge, F.array(
-        F.lit("Technical Architecture Specification"), F.lit("UI/UX Wireframes & Project Roadmap")))
-    last = _phase(F.concat(F.lit("Phase "), (F.size(chunks) + 2).cast("string"),
-                           F.lit(": QA, Security Audit & Production Launch")), edge, F.array(
-        F.lit("End-to-End QA Regression Testing"), F.lit("Security Audit & Performance Optimization"),
-        F.lit("Production Deployment & Handoff")))
-    full = F.concat(F.array(first), F.transform(chunks, development), F.array(last))
-    return F.when((n <= 2) & (weeks <= 4.0), quick).otherwise(clamp_phases(full, cap))
+    return mn.let(F.struct(features.alias("features"), weeks.alias("weeks"), phase_cap(complexity).alias("cap")), plan)
 
 
 def project_title(text: Column, given: Column | None = None,
@@ -232,16 +261,16 @@ def quotes(estimates: DataFrame, roles: DataFrame, target: Column, tax_rate: Col
         F.when(F.col("subtotal").isNull(), F.lit("nothing priced")).alias("error"))
 
 
-def phase_calendar(phases: DataFrame, key: str = "quote_id", order: str = "phase", weeks: str = "duration_weeks",
-                   start: str = "start_date") -> DataFrame:
+def phase_calendar(phases: DataFrame, key: str = "quote_id", order: Sequence[str] = ("phase",),
+                   weeks: str = "duration_weeks", start: str = "start_date") -> DataFrame:
     """Add start and end dates: each phase begins where the previous one ended.
 
     Days are whole per phase (a fractional week truncates) and negative durations count as
-    nothing.  ``order`` is numeric.
+    nothing.  The first ``order`` column is numeric.
     """
     days = F.floor(F.greatest(F.lit(0.0), F.col(weeks).cast("double")) * 7).cast("int")
-    summed = sq.running_sums(phases.withColumn("__days", days), [key], [order],
-                             F.floor(F.col(order) / 4096), {"__until": F.col("__days")})
+    summed = sq.running_sums(phases.withColumn("__days", days), [key], list(order),
+                             F.floor(F.col(order[0]) / 4096), {"__until": F.col("__days")})
     return (summed.withColumn("phase_start", F.date_add(F.col(start), (F.col("__until") - F.col("__days")).cast("int")))
             .withColumn("phase_end", F.date_add(F.col(start), F.col("__until").cast("int")))
             .drop("__days", "__until"))

@@ -128,5 +128,6 @@ def first_uploads(uploads: DataFrame, keys: Sequence[str], order: Sequence[str])
 
 def resolve_ids(requests: DataFrame, records: DataFrame, session: str = "session_id") -> DataFrame:
     """Requested ids found inside their own session, in request order; unknown ids are dropped."""
-    asked = requests.select(session, F.posexplode("ids").alias("pos", "id"))
+    kept = [c for c in requests.columns if c != "ids"]
+    asked = requests.select(*kept, F.posexplode("ids").alias("pos", "id"))
     return asked.join(records, [session, "id"])
