@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
+from .exprs import let
 
 MONEY = "decimal(18,2)"
 _WIDE = "decimal(28,8)"
@@ -77,11 +76,6 @@ def quote_number(proposal_id: Column, day: Column, prefix: str = "Q") -> Column:
     return F.concat_ws("-", F.lit(prefix), F.date_format(day, "yyyyMMdd"), F.upper(F.substring(proposal_id, 1, 6)))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` applied to a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def float_round(value: Column, digits: int) -> Column:
     """Round a double to ``digits`` decimals by its exact binary value, ties to even.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixed_values as fv
+from .exprs import let
 
 # Python-like matching in Java: Unicode classes and case folding.
 I = "(?iUd)"
@@ -31,6 +32,27 @@ def any_of(words: Iterable[str]) -> str:
     return "(?:" + "|".join(re.escape(w) for w in words) + ")"
 
 
+def fold(value: Column) -> Column:
+    """Lower case as case-insensitive matching sees it (long s and dotless i included)."""
+    return F.lower(F.translate(value, "\u0130\u017f\u0131", "isi"))
+
+
+def gated(value: Column, literals: Iterable[str], result: Column) -> Column:
+    """``result`` for texts that hold one of the literals, null for the rest.
+
+    Every pattern behind ``result`` needs one of the literals, so most texts are settled by
+    plain substring scans and never meet the regular expressions.  A literal with capitals
+    is looked for as it stands, the others in the folded text.
+    """
+    def any_literal(low: Column) -> Column:
+        hit = F.lit(False)
+        for literal in literals:
+            hit = hit | F.contains(low if literal == literal.lower() else value, F.lit(literal))
+        return hit
+
+    return F.when(let(fold(value), any_literal), result)
+
+
 def contains_any(value: Column, words: Iterable[str]) -> Column:
     return value.rlike(any_of(words))
 
@@ -132,20 +154,17 @@ def sentence_key(sentence: Column) -> Column:
     return strip(F.regexp_replace(F.lower(body), "[^a-z0-9 ]+", ""))
 
 
-def keep_first_by_key(entries: Column) -> Column:
-    """Of an array of struct(key, pos, ...), the first entry per key, in position order.
+def keep_first_by_key(entries: Column, fields: Sequence[str]) -> Column:
+    """Of an array of struct(key, pos, ...), the first entry per key as struct(pos, *fields) in position order.
 
     Sort by (key, pos), keep entries whose predecessor has another key, sort back: the
     cost is n log n inside the row and nothing is shuffled.
     """
-    ordered = F.array_sort(entries)
-    firsts = F.filter(
-        F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("string")),
-                                     F.transform(ordered, lambda e: e["key"])),
-                   lambda e, before: F.struct(e.alias("e"), before.alias("before"))),
-        lambda p: p["e"].isNotNull() & ~p["e"]["key"].eqNullSafe(p["before"]))
-    return F.array_sort(F.transform(firsts, lambda p: p["e"]),
-                        lambda a, b: (a["pos"] - b["pos"]).cast("int"))
+    def firsts(ordered: Column) -> Column:
+        kept = F.filter(ordered, lambda e, i: (i == 0) | (e["key"] != F.get(ordered, i - 1)["key"]))
+        return F.transform(kept, lambda e: F.struct(e["pos"].alias("pos"), *[e[f].alias(f) for f in fields]))
+
+    return F.array_sort(let(F.array_sort(entries), firsts))
 
 
 def dedupe_sentences(value: Column, text_pattern: str = rf"(?<=[.!?]){SPACE}+") -> Column:
@@ -154,7 +173,7 @@ def dedupe_sentences(value: Column, text_pattern: str = rf"(?<=[.!?]){SPACE}+")
     entries = F.transform(parts, lambda s, i: F.struct(
         sentence_key(s).alias("key"), i.alias("pos"),
         F.regexp_replace(strip(s), I + fv.RESTATEMENT, "").alias("text")))
-    kept = keep_first_by_key(F.filter(entries, lambda e: e["key"] != ""))
+    kept = keep_first_by_key(F.filter(entries, lambda e: e["key"] != ""), ["text"])
     return F.array_join(F.transform(kept, lambda e: e["text"]), " ")
 
 
@@ -170,11 +189,16 @@ def declared_currency(value: Column) -> Column:
     peso_said, dollar_said = count(_declared(fv.PESO_NAME)), count(_declared(fv.DOLLAR_NAME))
     peso_amounts = count(I + fv.PESO_STRONG) + count(I + fv.PESO_AMOUNT)
     dollar_amounts = count(I + fv.DOLLAR_AMOUNT)
-    return (F.when(peso_said + dollar_said > 0,
-                   F.when(peso_said >= dollar_said, F.lit("PHP")).otherwise(F.lit("USD")))
-            .when((peso_amounts > 0) & (peso_amounts >= dollar_amounts), F.lit("PHP"))
-            .when(dollar_amounts > 0, F.lit("USD"))
-            .when(value.rlike(I + fv.DOLLAR_TOKEN), F.lit("USD")))
+    def decide(n: Column) -> Column:
+        return (F.when(n["php_said"] + n["usd_said"] > 0,
+                       F.when(n["php_said"] >= n["usd_said"], F.lit("PHP")).otherwise(F.lit("USD")))
+                .when((n["php"] > 0) & (n["php"] >= n["usd"]), F.lit("PHP"))
+                .when(n["usd"] > 0, F.lit("USD"))
+                .when(value.rlike(I + fv.DOLLAR_TOKEN), F.lit("USD")))
+
+    counts = F.struct(peso_said.alias("php_said"), dollar_said.alias("usd_said"),
+                      peso_amounts.alias("php"), dollar_amounts.alias("usd"))
+    return gated(value, fv.CURRENCY_LITERALS, let(counts, decide))
 
 
 def detect_currency(value: Column) -> Column:
@@ -242,9 +266,9 @@ def document_links(value: Column) -> Column:
     urls = F.regexp_extract_all(value, F.lit(pattern), F.lit(2))
     entries = F.zip_with(labels, urls, lambda l, u: F.struct(l.alias("label"), u.alias("url")))
     keyed = F.transform(entries, lambda e, i: F.struct(
-        e["url"].alias("key"), i.alias("pos"), e["label"].alias("label")))
-    return F.transform(keep_first_by_key(keyed), lambda e: F.struct(
+        e["url"].alias("key"), i.alias("pos"), e["label"].alias("label"), e["url"].alias("url")))
+    return F.transform(keep_first_by_key(keyed, ["label", "url"]), lambda e: F.struct(
         e["pos"].alias("pos"),
-        F.when(F.btrim(e["label"], F.lit(" *_")) == "", e["key"])
+        F.when(F.btrim(e["label"], F.lit(" *_")) == "", e["url"])
         .otherwise(F.btrim(e["label"], F.lit(" *_"))).alias("label"),
-        e["key"].alias("url")))
+        e["url"].alias("url")))

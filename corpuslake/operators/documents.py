@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as fv
 from ..functions import sequences as sq
 from ..functions import text as tx
+from ..functions.exprs import unnest
 
 LIST_FIELDS = ("target_platform", "features", "constraints", "tech_stack")
 
@@ -28,7 +29,7 @@ def split_pages(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.when(tx.strip(body) != "", F.array(tx.strip(body))).otherwise(F.array().cast("array<string>"))
     kept = [c for c in docs.columns if c != text]
     rows = docs.select(*kept, F.when(F.size(parts) > 0, parts).otherwise(whole).alias("__b"))
-    rows = rows.select(*kept, F.posexplode("__b").alias("pos", "block"))
+    rows = unnest(rows, kept, F.col("__b"), "block")
     number = F.regexp_extract("block", r"\A## Page (\d+)", 1)
     return rows.select(*kept, "pos", F.when(number == "", 1).otherwise(number.try_cast("int")).alias("page"),
                        tx.strip(F.col("block")).alias("block"))
@@ -100,7 +101,7 @@ def normalize_figures(text: Column) -> Column:
         plain = F.array(entry(i, i.cast("long") * 1000000, F.lit(-1), F.concat(F.lit("\x00"), i.cast("string")), line))
         return F.when(figure, told).otherwise(plain)
 
-    kept = tx.keep_first_by_key(F.flatten(F.transform(lines, line_entries)))
+    kept = tx.keep_first_by_key(F.flatten(F.transform(lines, line_entries)), ["line", "part", "shown"])
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(-1).alias("line"), F.lit(-2).alias("part"))
 
     def step(acc: Column, e: Column) -> Column:
@@ -171,7 +172,7 @@ def excerpts(docs: DataFrame, text: str, needle: str) -> DataFrame:
     """
     hay = F.when(F.lower(F.col(text)).contains(F.lower(F.col(needle))), F.col(text))
     rows = docs.withColumn("__s", _excerpt_spans(hay, F.col(needle)))
-    rows = rows.select(*docs.columns, F.posexplode("__s").alias("excerpt", "span"))
+    rows = unnest(rows, docs.columns, F.col("__s"), "span", "excerpt")
     label = F.coalesce(F.concat(F.lit("Page "), F.col("span.page")), F.lit("start of document"))
     return rows.select(
         *docs.columns, "excerpt", F.col("span.start").alias("start"), F.col("span.end").alias("end"),
@@ -208,7 +209,7 @@ def merge_requirements(groups: DataFrame, own_notes: DataFrame | None = None) ->
     """
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("l")) for f in LIST_FIELDS])
     flat = groups.select("doc", "group", F.explode(fields).alias("f"))
-    flat = flat.select("doc", "group", F.col("f.field").alias("field"), F.posexplode("f.l").alias("pos", "value"))
+    flat = unnest(flat, ["doc", "group", F.col("f.field").alias("field")], F.col("f.l"))
     unions = ordered_union(flat, ["doc", "field"], "value", ["group", "pos"])
     lists = unions.groupBy("doc").agg(*[
         F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in LIST_FIELDS])

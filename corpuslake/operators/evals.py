@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
+from ..functions.exprs import unnest
 from ..functions.order_stats import exact_quantiles
 
 LAYER_COLUMNS = "layer string, name string, total bigint, passed bigint, detail string, skipped boolean"
@@ -118,7 +119,7 @@ def explode_claims(cases: DataFrame, fields=fv.CLAIM_FIELDS) -> DataFrame:
     """(file, brief_words, field, value) rows of the claim lists of extraction cases."""
     lists = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"requirements.{f}").alias("values")) for f in fields])
     rows = cases.select("file", "brief_words", F.explode(lists).alias("l"))
-    return rows.select("file", "brief_words", F.col("l.field").alias("field"), F.explode("l.values").alias("value"))
+    return unnest(rows, ["file", "brief_words", F.col("l.field").alias("field")], F.col("l.values")).drop("pos")
 
 
 def claim_summary(flagged: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
+from ..functions.exprs import let
 from .retrieval import exact_topk
 
 _PY = "(?Ud)"
@@ -55,22 +56,27 @@ def redact(df: DataFrame, text: str, out: str = "redacted", matched: str = "matc
 
 
 # --------------------------------------------------------------------- blocking
-def blocked_category(text: Column, patterns=fv.BLOCKED_PATTERNS) -> Column:
-    """Category of the first pattern in the list that matches, or null."""
+def blocked_category(text: Column, patterns=fv.BLOCKED_PATTERNS, literals=fv.BLOCKED_LITERALS) -> Column:
+    """Category of the first pattern in the list that matches, or null.
+
+    ``literals`` are strings of which every pattern needs one; pass an empty
+    sequence with patterns of your own that have none.
+    """
     cases = [F.when(text.rlike((tx.I if fold else _PY) + pattern), F.lit(category))
              for pattern, category, fold in patterns]
-    return F.coalesce(*cases)
+    first = F.coalesce(*cases)
+    return tx.gated(text, literals, first) if literals else first
 
 
 def topic_matches(text: Column, extra: Sequence[str] = (), lexicon=fv.TOPIC_LEXICON,
                   whole_words: bool = False, limit: int | None = 5) -> Column:
     """Sorted lexicon words found in the text (plain containment unless ``whole_words``)."""
-    low = F.lower(text)
-    words = F.array(*[F.lit(w) for w in sorted((*lexicon, *extra))])
+    words = sorted((*lexicon, *extra))
     if whole_words:
-        found = F.array_compact(F.array(*[F.when(tx.whole_word(low, w), F.lit(w)) for w in sorted((*lexicon, *extra))]))
+        found = F.array_compact(F.array(*[F.when(tx.whole_word(text, w), F.lit(w)) for w in words]))
     else:
-        found = F.filter(words, lambda w: F.contains(low, w))
+        every = F.array(*[F.lit(w) for w in words])
+        found = let(F.lower(text), lambda low: F.filter(every, lambda w: F.contains(low, w)))
     return F.slice(found, 1, limit) if limit else found
 
 

@@ -11,6 +11,7 @@ from ..functions import fixed_values as fv
 from ..functions import money as mn
 from ..functions import sequences as sq
 from ..functions import text as tx
+from ..functions.exprs import let
 
 RATE = "decimal(18,2)"
 
@@ -42,7 +43,7 @@ def estimate_weeks(given: Column, features: Column, complexity: Column) -> Colum
 
 
 def _item(role: str, hours: Column, rate: Column) -> Column:
-    return mn.let(F.struct(hours.alias("hours"), rate.alias("rate")), lambda v: F.struct(
+    return let(F.struct(hours.alias("hours"), rate.alias("rate")), lambda v: F.struct(
         F.lit(role).alias("role"), v["hours"].alias("hours"), v["rate"].alias("rate"),
         mn.float_round(v["hours"] * v["rate"], 2).alias("cost")))
 
@@ -127,7 +128,7 @@ def clamp_phases(phases: Column, cap: Column) -> Column:
         return F.struct(every.alias("phases"), F.greatest(F.lit(0), F.least(
             F.size(every) - cap, F.size(every) - 2)).alias("merges"))
 
-    return mn.let(mn.let(phases, measured), fold)
+    return let(let(phases, measured), fold)
 
 
 def _quick_phases(features: Column, weeks: Column) -> Column:
@@ -139,12 +140,12 @@ def _quick_phases(features: Column, weeks: Column) -> Column:
             _phase(F.lit("Phase 2: QA, Acceptance & Deployment"), half, F.array(
                 F.lit("End-to-End Testing"), F.lit("Production Launch & Handoff"))))
 
-    return mn.let(mn.float_round(weeks * 0.5, 1), both)
+    return let(mn.float_round(weeks * 0.5, 1), both)
 
 
 def _full_phases(chunks: Column, weeks: Column) -> Column:
     def development(chunk: Column, i: Column, each: Column) -> Column:
-        title = mn.let(F.array_join(F.slice(chunk, 1, 2), " & "),
+        title = let(F.array_join(F.slice(chunk, 1, 2), " & "),
                        lambda t: F.when(F.length(t) > 45, _cut_at_word(t, 45)).otherwise(t))
         return _phase(F.concat(F.lit("Phase "), (i + 2).cast("string"), F.lit(": Development — "), title), each,
                       F.transform(F.slice(chunk, 1, 4), lambda f: F.concat(F.lit("Deliverable: "), f)))
@@ -164,7 +165,7 @@ def _full_phases(chunks: Column, weeks: Column) -> Column:
         return F.struct(parts.alias("chunks"), mn.float_round(each, 1).alias("each"),
                         mn.float_round(F.greatest(F.lit(0.5), weeks * 0.15), 1).alias("edge"))
 
-    return mn.let(mn.let(chunks, sized), build)
+    return let(let(chunks, sized), build)
 
 
 def build_phases(features: Column, weeks: Column, complexity: Column) -> Column:
@@ -172,12 +173,12 @@ def build_phases(features: Column, weeks: Column, complexity: Column) -> Column:
     def plan(v: Column) -> Column:
         names, span, cap = v["features"], v["weeks"], v["cap"]
         step = F.greatest(F.lit(1), F.ceil(F.size(names) / F.greatest(F.lit(1), cap - 2))).cast("int")
-        chunks = mn.let(step, lambda n: F.transform(
+        chunks = let(step, lambda n: F.transform(
             F.sequence(F.lit(1), F.size(names), n), lambda a: F.slice(names, a, n)))
         full = clamp_phases(_full_phases(chunks, span), cap)
         return F.when((F.size(names) <= 2) & (span <= 4.0), _quick_phases(names, span)).otherwise(full)
 
-    return mn.let(F.struct(features.alias("features"), weeks.alias("weeks"), phase_cap(complexity).alias("cap")), plan)
+    return let(F.struct(features.alias("features"), weeks.alias("weeks"), phase_cap(complexity).alias("cap")), plan)
 
 
 def project_title(text: Column, given: Column | None = None,

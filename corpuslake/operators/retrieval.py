@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
+from ..functions.exprs import unnest
 
 CELL_ROWS = 1024
 _SCORE_DIGITS = 9
@@ -154,7 +155,7 @@ def expand_by_text(queries: DataFrame, chunks: DataFrame, word: str, limit: int
 
 def find_resources(hits: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
     """Document links in the hits of each query, first per url in rank order."""
-    links = hits.select(*keys, rank, F.explode(tx.document_links(F.col("text"))).alias("l"))
-    flat = links.select(*keys, F.struct(F.col(rank), F.col("l.pos")).alias("place"),
+    links = unnest(hits, [*keys, rank], tx.document_links(F.col("text")), "l", "n")
+    flat = links.select(*keys, F.struct(F.col(rank), F.col("n")).alias("place"),
                         F.col("l.label").alias("label"), F.col("l.url").alias("url"))
     return flat.groupBy(*keys, "url").agg(F.min("place").alias("place"), F.min_by("label", "place").alias("label"))

@@ -117,7 +117,7 @@ def page_extract(spark, sf_dir):
 
 
 @query("page_titles", r"""
-SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '"'), '&lt;', '<'), '&amp;', '&')) AS title FROM pages""")
+SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '&amp', '&')) AS title FROM pages""")
 def page_titles(spark, sf_dir):
     """Titles by the HTML parse, checked against the heading element."""
     p = table(spark, sf_dir, "pages", spread=True)
@@ -126,7 +126,7 @@ def page_titles(spark, sf_dir):
 
 @query("html_to_text", r"""
 WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages)
-SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM t""")
+SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS digest FROM t""")
 def html_to_text(spark, sf_dir):
     p = table(spark, sf_dir, "pages", spread=True)
     return p.select("page_id", F.sha2(tx.html_to_text(F.col("html")), 256).alias("digest"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
+from ..functions.exprs import unnest
 from ..operators import documents, evals, policy
 from ..operators.crawl import keep_first
 from .base import NOT_WORD, bounded, query, r6, re2, sql_any, sql_list, sql_match, sql_text, table
@@ -108,6 +109,9 @@ def _declares(name: str) -> str:
     return rf"(?i){noun}[^.\n]{{0,24}}?(?:\bin\b|\bto\b|:|=|\()\s*{name}"
 
 
+TOKEN = r"\$|" + bounded("USD|dollars?|us dollars?")
+
+
 def currency_sql(column: str) -> str:
     def count(pattern: str) -> str:
         return f"len(regexp_extract_all({column}, {sql_text(pattern)}))"
@@ -117,7 +121,7 @@ def currency_sql(column: str) -> str:
     dollars = count("(?i)" + fv.DOLLAR_AMOUNT)
     return (f"CASE WHEN {php} + {usd} > 0 THEN CASE WHEN {php} >= {usd} THEN 'PHP' ELSE 'USD' END "
             f"WHEN {pesos} > 0 AND {pesos} >= {dollars} THEN 'PHP' WHEN {dollars} > 0 THEN 'USD' "
-            f"WHEN {sql_match(column, fv.DOLLAR_TOKEN)} THEN 'USD' END")
+            f"WHEN {sql_match(column, TOKEN)} THEN 'USD' END")
 
 
 PRICED_SQL = """(SELECT 'doc/' || doc_id AS id, text FROM documents
@@ -168,8 +172,8 @@ def novelty_vs_benchmark(spark, sf_dir):
     The vocabulary is distinct words, so the join adds no rows; AQE broadcasts it when its
     measured size allows and otherwise splits the partitions of very common words.
     """
-    vocabulary = table(spark, sf_dir, "benchmark").select(
-        F.explode(tx.content_words(F.col("text"))).alias("w")).distinct().withColumn("known", F.lit(1))
+    vocabulary = unnest(table(spark, sf_dir, "benchmark"), [], tx.content_words(F.col("text")), "w").select(
+        "w").distinct().withColumn("known", F.lit(1))
     d = docs(spark, sf_dir).select("doc_id", F.explode_outer(tx.content_words(F.col("text"))).alias("w"))
     out = d.join(vocabulary, "w", "left").groupBy("doc_id").agg(
         F.count("w").alias("words"), F.count_if(F.col("w").isNotNull() & F.col("known").isNull()).alias("novel_words"))
@@ -205,7 +209,8 @@ def claim_grounding(spark, sf_dir):
     """Every line of a document as a claim against its opening line."""
     lines = F.split("text", "\n")
     d = docs(spark, sf_dir, "source").select(
-        "source", tx.content_words(F.element_at(lines, 1)).alias("brief_words"), F.explode(lines).alias("value"))
+        "source", tx.content_words(F.element_at(lines, 1)).alias("brief_words"), lines.alias("lines"))
+    d = unnest(d, ["source", "brief_words"], F.col("lines"))
     out = evals.claim_summary(evals.claim_grounding(d), ["source"])
     return out.select(F.col("source").alias("file"), "total", "grounded", r6(F.col("rate")).alias("rate"))
 
@@ -240,7 +245,7 @@ def sentence_dedupe(spark, sf_dir):
     parts = F.split("text", rf"(?<=[.!?]){tx.SPACE}+")
     entries = F.transform(parts, lambda s, i: F.struct(
         tx.sentence_key(s).alias("key"), i.alias("pos"), F.regexp_replace(tx.strip(s), tx.I + LEAD, "").alias("text")))
-    d = d.withColumn("kept", tx.keep_first_by_key(F.filter(entries, lambda e: e["key"] != "")))
+    d = d.withColumn("kept", tx.keep_first_by_key(F.filter(entries, lambda e: e["key"] != ""), ["text"]))
     return d.select("doc_id", F.size("kept").cast("long").alias("sentences"),
                     F.sha2(F.array_join(F.transform("kept", lambda e: e["text"]), " "), 256).alias("digest"))
 
@@ -318,7 +323,7 @@ SELECT doc_id AS doc, count(*) FILTER (WHERE NOT failed) AS pages_parsed,
        count(*) FILTER (WHERE vision) AS pages_via_vision, CAST(sum(length(line)) AS BIGINT) AS total_tokens FROM p GROUP BY doc_id""")
 def page_accounting(spark, sf_dir):
     """Each line as a page; unusable lines failed, lines with digits came through vision."""
-    lines = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = unnest(docs(spark, sf_dir), [F.col("doc_id").alias("doc")], F.split("text", "\n"), "line")
     n = F.length("line")
     pages = lines.select("doc", (F.col("pos") + 1).alias("page"), tx.unusable_reason(F.col("line")).isNotNull().alias("failed"),
                          F.when(F.col("line").rlike("[0-9]"), F.lit("vision")).otherwise(F.lit("text")).alias("source"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import money as mn
+from ..functions.exprs import unnest
 from ..operators import evals, pricing
 from .base import query, r6, sql_list, sql_text, table
 
@@ -113,7 +114,7 @@ SCOPES = (("ECONOMY", "cloud storage backups"), ("PROMO", "AI models"), ("STANDA
 def projects(spark, sf_dir):
     """Parts as project briefs: the type gives the scope, the size the timeline and complexity."""
     scope = F.create_map(*[F.lit(x) for pair in SCOPES for x in pair])
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part", spread=True)
     size = F.col("p_size")
     return p.select("p_partkey", F.array("p_name", F.try_element_at(scope, F.col("p_type"))).alias("features"), F.array("p_brand").alias("target_platform"),
                     F.when(size < 20, "low").when(size < 35, "medium").otherwise("high").alias("complexity"),
@@ -169,7 +170,7 @@ def rate_card_estimate(spark, sf_dir):
 def keyword_costings(spark, sf_dir):
     """Add-on line items by whole-word keys, the base roles left out."""
     out = pricing.estimate(projects(spark, sf_dir), F.lit("USD"))
-    rows = out.select("p_partkey", F.posexplode("items").alias("pos", "i")).filter(F.col("pos") >= len(fv.BASE_STAFFING))
+    rows = unnest(out, ["p_partkey"], F.col("items"), "i").filter(F.col("pos") >= len(fv.BASE_STAFFING))
     return rows.select("p_partkey", "i.role", "i.hours", "i.rate", "i.cost")
 
 
@@ -210,7 +211,7 @@ def project_phases(spark, sf_dir):
     p = projects(spark, sf_dir).withColumn("names", pricing.clean_features(F.concat("features", "target_platform")))
     p = p.withColumn("weeks", F.coalesce(mn.float_round(F.col("timeline_weeks"), 1), F.lit(3.0)))
     p = p.withColumn("phases", pricing.build_phases(F.col("names"), F.col("weeks"), F.col("complexity")))
-    rows = p.select("p_partkey", F.posexplode("phases").alias("phase", "x"))
+    rows = unnest(p, ["p_partkey"], F.col("phases"), "x", "phase")
     return rows.select("p_partkey", "phase", "x.phase_name", "x.duration_weeks", F.array_join("x.milestones", "; ").alias("milestones"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evals, policy
 from ..operators.retrieval import exact_topk
+from ..session import cut_lineage
 from .base import query, r6, table
 
 K = 5
@@ -95,7 +96,8 @@ SELECT round((SELECT min(s) FROM g), 6) AS gold_min,
        (SELECT count(*) FROM a, gm WHERE a.s > gm.m) AS overlap_count,
        (SELECT count(*) FROM a) AS abstain_total, (SELECT count(*) FROM g) AS gold_total""")
 def score_separation(spark, sf_dir):
-    out = evals.separation(results(spark, sf_dir), K)
+    # One small row per case, read by six branches below.
+    out = evals.separation(cut_lineage(results(spark, sf_dir)), K)
     return out.select(*[r6(F.col(c)).alias(c) if c.split("_")[-1] in ("min", "p25", "median", "p75", "max") else F.col(c)
                         for c in out.columns])
 
@@ -107,7 +109,7 @@ SELECT id, coalesce(CASE WHEN rank < 3 THEN rank END, -1)::BIGINT AS rank_before
 FROM results""")
 def baseline_diff(spark, sf_dir):
     """Current results at depth 5 against a baseline taken at depth 3 of the same hits."""
-    now = results(spark, sf_dir)
+    now = cut_lineage(results(spark, sf_dir))
     shallow = F.col("rank") < 3
     before = now.select("id", F.when(shallow, F.col("rank")).alias("rank"), F.when(shallow, F.col("gold_score")).alias("gold_score"))
     return evals.diff_baseline(now, before).select(
@@ -120,7 +122,7 @@ WITH {RESULT_SQL}
 SELECT b.id AS base, t.id AS twin FROM results t JOIN results b ON b.id = t.id - 1
 WHERE (t.rank IS NULL) <> (b.rank IS NULL)""")
 def paraphrase_divergence(spark, sf_dir):
-    return evals.divergent_pairs(results(spark, sf_dir), cases(spark, sf_dir), K)
+    return evals.divergent_pairs(cut_lineage(results(spark, sf_dir)), cases(spark, sf_dir), K)
 
 
 @query("grounding_check", """

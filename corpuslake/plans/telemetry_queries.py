@@ -9,8 +9,8 @@ from .base import query, r6, table
 BRIEF, ESTIMATE, TERMINAL = "view", "click", "purchase"
 
 
-def events(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+def events(spark, sf_dir, spread=False):
+    e = table(spark, sf_dir, "events", spread)
     return e.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
@@ -243,7 +243,7 @@ SELECT sc.doc, (SELECT string_agg(v, '|' ORDER BY place) FROM feat1 WHERE feat1.
 FROM sc""")
 def requirements_merge(spark, sf_dir):
     """Every event is one extracted group of its user's brief."""
-    e, kind = events(spark, sf_dir), F.col("event_type")
+    e, kind = events(spark, sf_dir, spread=True), F.col("event_type")
     k = F.col("k").cast("string")
     none = F.array().cast("array<string>")
     groups = e.select(
