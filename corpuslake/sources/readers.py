@@ -72,7 +72,7 @@ def sitemap_locations(xml: Column) -> Column:
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """(slug, body) of Markdown page files, front matter removed."""
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1)
     return files.select(F.try_url_decode(name).alias("slug"), tx.strip_front_matter(F.col("value")).alias("body"))
 

@@ -39,16 +39,16 @@ def publish_version(df: DataFrame, root: str, fmt: str = "json") -> str:
     """
     version = f"v-{uuid.uuid4().hex}"
     df.write.format(fmt).save(f"{root}/{version}")
-    _replace_text(df.sparkSession, f"{root}/_current", version)
+    _replace_text(df.sparkSession, f"{root}/CURRENT", version)
     return version
 
 
 def current_version(spark: SparkSession, root: str, schema=schemas.MANIFEST, fmt: str = "json") -> DataFrame:
     """The published version, or an empty table before the first publication."""
-    fs, path = _filesystem(spark, f"{root}/_current")
+    fs, path = _filesystem(spark, f"{root}/CURRENT")
     if not fs.exists(path):
         return spark.createDataFrame([], schema)
-    version = spark.read.text(f"{root}/_current").first()[0]
+    version = spark.read.text(f"{root}/CURRENT").first()[0]
     return spark.read.schema(schema).format(fmt).load(f"{root}/{version}")
 
 
