@@ -85,6 +85,8 @@ def sliding_list(df: DataFrame, keys: Sequence[str], position: str, value: Colum
     next block as a halo, so no window ever spans more than ``width + size`` rows.
     """
     reach = size - 1 if include_current else size
+    if width < reach:
+        raise ValueError("a block must be at least as wide as the window")
     block = F.floor(F.col(position) / width).cast("long")
     late = F.pmod(F.col(position), F.lit(width)) >= width - reach
     homes = F.array_compact(F.array(
