@@ -140,7 +140,7 @@ def currency_detect(spark, sf_dir):
     said = (F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Total price in PHP: "), amount))
             .when(F.col("o_orderstatus") == "O", F.concat(F.lit("We pay $"), amount, F.lit(" or PHP "), amount, F.lit(", no "), "o_orderpriority"))
             .otherwise(F.concat(F.lit("About "), amount, F.lit(" dollars, stack PHP 8.2"))))
-    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("id"), said.alias("text"))
+    o = table(spark, sf_dir, "orders", spread=True).select(F.concat(F.lit("order/"), "o_orderkey").alias("id"), said.alias("text"))
     every = d.unionByName(p).unionByName(o)
     return every.select("id", F.coalesce(tx.declared_currency(F.col("text")), F.lit("none")).alias("currency"))
 
