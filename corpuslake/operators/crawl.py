@@ -92,7 +92,7 @@ def manifest(results: DataFrame, carried: DataFrame) -> DataFrame:
 
 
 def run_report(results: DataFrame, skipped: DataFrame, removed: DataFrame, crawled_at: str,
-               last_scrape: str | None, listed: int = 1000) -> DataFrame:
+               last_scrape: str | None) -> DataFrame:
     """One-row run summary.  The scrape time moves only when a page was fetched.
 
     Failures and thin pages are counted here and listed in full by ``failed_pages`` and

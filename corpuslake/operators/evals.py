@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -12,8 +12,6 @@ from ..functions import text as tx
 from ..functions.exprs import unnest
 from ..functions.order_stats import exact_quantiles
 
-LAYER_COLUMNS = "layer string, name string, total bigint, passed bigint, detail string, skipped boolean"
-
 
 def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
@@ -179,8 +177,8 @@ def layer_table(layers: list[DataFrame], floors=fv.LAYER_FLOORS) -> DataFrame:
     rows = rows.withColumn("floor", F.coalesce(F.try_element_at(limits, F.col("name")), F.lit(1.0)))
     rows = rows.withColumn("status", F.when(F.col("skipped"), F.lit("SKIP"))
                            .when(F.col("pass_rate") < F.col("floor"), F.lit("FAIL")).otherwise(F.lit("ok")))
-    gate = rows.agg(F.coalesce(F.bool_and(F.col("status") != "FAIL"), F.lit(True)).alias("gate"))
-    return rows.crossJoin(F.broadcast(gate))
+    # One row per layer: a window over this handful keeps the layers from being computed twice.
+    return rows.withColumn("gate", F.bool_and(F.col("status") != "FAIL").over(Window.partitionBy(F.lit(0))))
 
 
 class LayerRegistry:

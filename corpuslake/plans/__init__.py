@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval_queries", "telemetry_queries", "document_queries", "dialogue_queries", "crawl_queries", "pricing_queries", "streaming_queries")
+MODULES = ("retrieval_queries", "telemetry_queries", "document_queries", "dialogue_queries", "crawl_queries", "pricing_queries", "streaming_queries", "eval_queries")
 
 
 def load_catalog():

@@ -187,9 +187,7 @@ def test_estimate(spark):
     rows = pricing.estimate(df, F.lit("USD")).collect()
     assert [r.weeks for r in rows] == [round((4 + 1.3) * 0.8, 1), round((4 + 3.9) * 1.2, 1), 6.0]
     assert [[i.role.split()[-1] for i in r["items"]][4:] for r in rows] == [[], ["Engineer", "(Annual)", "Specialist"], []]
-    rates = [round(Decimal(v) / 60, 2) for v in ("2496.90", "2090.90", "1299.20", "1470.00")]
     want = sum(round(rows[0].weeks * w * float(r), 2) for w, r in zip((15, 30, 15, 10), (41.62, 34.85, 21.65, 24.5)))
-    assert [float(r) for r in rates] == [41.61, 34.85, 21.65, 24.5] or rates[0] in (Decimal("41.61"), Decimal("41.62"))
     assert math.isclose(rows[0].total_cost, round(want, 2), abs_tol=0.011)
     php = pricing.estimate(df, F.lit("PHP")).first()
     assert php["items"][0].rate == 2496.9
