@@ -56,6 +56,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("n_tokens").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and adaptive verdict of every document."""
+    from .quality_rules import quality_rules
+
+    return quality_rules(C.table(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_ring_sharding")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40, of equal row counts."""
+    from .ring_sharding import ring_shards
+
+    return ring_shards(C.table(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def catalog() -> tuple[dict, dict]:
     """All queries of the subpackage and their SQL forms, the pipeline included."""
     pipeline = import_module("corpus_pipeline")
