@@ -74,6 +74,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path() -> str:
+    """The public byte-level tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op9_harmonic_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, packed into sequences of 2048 tokens."""
+    from .harmonic_packing import harmonic_packing
+
+    return harmonic_packing(C.table(spark, sf_dir), tokenizer_path())
+
+
 def catalog() -> tuple[dict, dict]:
     """All queries of the subpackage and their SQL forms, the pipeline included."""
     pipeline = import_module("corpus_pipeline")
