@@ -74,6 +74,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and disguised identifiers of every document."""
+    from .pii import pii_spans
+
+    return pii_spans(C.table(spark, sf_dir))
+
+
 def tokenizer_path() -> str:
     """The public byte-level tokenizer that the queries use."""
     import public_tokenizers
