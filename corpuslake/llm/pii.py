@@ -45,7 +45,8 @@ _TOKEN = re.compile(
 _LAST_LABELS = "com|org|net|edu|gov|info|biz|dev|app|io|ai|co|me|us|uk|eu|de|fr|es|it|nl|pt|ch|at|be|ca|au|jp|cn|in|ru|br|example|test"
 _BARE_MAIL = re.compile(rf"[A-Za-z0-9._%+-]+\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+(?:{_LAST_LABELS})\b", re.IGNORECASE)
 _BRACKETED = re.compile(rf"{_OPEN}(?:at|dot|punkt|point|punto){_CLOSE}", re.IGNORECASE)
-_SPELLED = re.compile(rf"\b(?:{'|'.join(_DIGIT_WORDS)})\b", re.IGNORECASE)
+_SPELLED = re.compile(rf"\b(?:{'|'.join(_DIGIT_WORDS)})\b")
+_DIGIT_GATES = tuple(f" {w} " for w in _DIGIT_WORDS)
 _LEAST_SPELLED = 4
 
 
@@ -59,6 +60,7 @@ def _char_map() -> dict[int, str]:
 
 
 _CHARS = _char_map()
+_LATIN_TRIGGERS = tuple(chr(c) for c in _CHARS if c < 256)
 _TRIGGER = re.compile("[" + "".join(map(re.escape, map(chr, _CHARS))) + "]")
 
 
@@ -159,15 +161,39 @@ def _words(text: str) -> Iterator[tuple[int, int, str]]:
     return iter(found)
 
 
+def _worth_reading(text: str) -> bool:
+    """Whether a text can hold disguised signs or enough spelled digits; only looks for plain substrings first."""
+    if any(c in text for c in "[({<") and _BRACKETED.search(text):
+        return True
+    lower = text.lower()
+    if "dot" in lower and _BARE_MAIL.search(text):
+        return True
+    # Of four spelled digits close together, two at least stand before a blank, a comma or a hyphen.
+    lower = lower.replace("\n", " ").replace(", ", " ").replace("-", " ")
+    if sum(lower.count(w) for w in _DIGIT_GATES) < 2:
+        return False
+    return len(_SPELLED.findall(lower)) >= _LEAST_SPELLED
+
+
+def _has_lookalikes(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _TRIGGER.search(text) is not None
+    return any(c in text for c in _LATIN_TRIGGERS)
+
+
 def _disguised(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind index, end)`` in the source of what only shows once the text is rewritten."""
+    changed = _has_lookalikes(text)
+    if not changed and not _worth_reading(text):
+        return []
     rewritten = Rewritten(text)
-    changed = not text.isascii() and _TRIGGER.search(text) is not None
     if changed:
         rewritten = rewritten.replace(_characters(text))
-    lower = rewritten.text.lower()
-    spelled = sum(lower.count(w) for w in _DIGIT_WORDS) >= _LEAST_SPELLED and len(_SPELLED.findall(lower)) >= _LEAST_SPELLED
-    if spelled or "dot" in lower or (("at" in lower or "p" in lower) and _BRACKETED.search(lower)):
+    if _worth_reading(rewritten.text):
         rewritten, changed = rewritten.replace(_words(rewritten.text)), True
     if not changed:
         return []
