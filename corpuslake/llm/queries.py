@@ -74,6 +74,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+_OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+q AS (SELECT DISTINCT item_id, least(13, len(ws)) AS m, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS w
+      FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+s AS (SELECT DISTINCT m FROM q),
+p AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS w
+      FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, s WHERE len(ws) >= m)),
+h AS (SELECT p.doc_id, p.i, p.m, q.item_id FROM p JOIN q ON p.w = q.w AND p.m = q.m),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT DISTINCT doc_id, i, m FROM h), range(13) t(j) WHERE j < m GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op3_decontamination", _OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 13-word windows of the benchmark."""
+    from .decontamination import decontamination
+
+    docs = C.table(spark, sf_dir)
+    found = decontamination(docs, C.table(spark, sf_dir, "benchmark"))
+    return C.keyed(docs).drop("text").join(found, ["did", "dn"]).drop("did", "dn")
+
+
 @query("op4_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain and disguised identifiers of every document."""
@@ -82,6 +112,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(C.table(spark, sf_dir))
 
 
+@query("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of every document."""
+    from .ngram_join import component_ids
+
+    return component_ids(C.table(spark, sf_dir))
+
+
 def tokenizer_path() -> str:
     """The public byte-level tokenizer that the queries use."""
     import public_tokenizers
