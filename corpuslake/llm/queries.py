@@ -74,6 +74,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def damaged_copy(pages: DataFrame) -> DataFrame:
+    """A replica of ``pages`` in which records were lost, doubled or changed, as a digest of their content decides."""
+    pages = pages.withColumn("mark", F.substring(F.md5(F.coalesce("html", F.lit("")).cast("binary")), 1, 2))
+    mark = F.col("mark")
+    html = F.when(mark == "00", F.concat(F.lit("?"), F.col("html"))).when(mark == "01", F.reverse("html")).otherwise(F.col("html"))
+    copies = F.when(mark == "02", 0).when(mark == "03", 2).otherwise(1)
+    return (pages.withColumn("html", html).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(1))))
+            .filter(F.col("copy") < copies).drop("copy", "mark"))
+
+
+_OP2_SQL = """
+WITH r AS (SELECT page_id, substr(md5(coalesce(html, '')), 1, 2) AS mark, html,
+                  strlen('WARC/1.1' || 'WARC-Type: response' || 'WARC-Target-URI: ' || coalesce(url, '')
+                         || 'Content-Type: text/html; charset=utf-8' || 'Content-Length: ') + 14
+                  + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) AS size FROM pages),
+o AS (SELECT *, size + CASE WHEN mark = '00' THEN 1 + strlen(CAST(strlen(coalesce(html, '')) + 1 AS VARCHAR)) - strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) ELSE 0 END AS new_size,
+             sum(size) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+SELECT page_id AS key, CASE WHEN mark = '02' THEN 'missing' ELSE 'changed' END AS state,
+       CAST(size AS BIGINT) AS original_bytes, CAST(CASE mark WHEN '02' THEN 0 WHEN '03' THEN 2 * size ELSE new_size END AS BIGINT) AS replica_bytes,
+       CAST(coalesce(before, 0) AS BIGINT) AS record_offset
+FROM o WHERE mark IN ('00', '02', '03') OR mark = '01' AND html <> reverse(html)
+"""
+
+
+@query("op2_fixity_audit", _OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in which an archive of all pages and its damaged replica differ."""
+    from .fixity_audit import fixity_audit, record_bytes
+
+    pages = C.table(spark, sf_dir, "pages")
+    return fixity_audit(pages, damaged_copy(pages), "page_id", lambda f: record_bytes(f["url"], f["html"])).drop("nodes_read")
+
+
 _OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -135,6 +168,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing(C.table(spark, sf_dir), tokenizer_path())
 
 
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to coded files and read back."""
+    from uuid import uuid4
+
+    from corpuslake.session import checkpoint_dir
+
+    from .token_files import read_token_files, write_token_files
+
+    folder = f"{checkpoint_dir(spark)}/token-files-{uuid4().hex}"
+    write_token_files(C.table(spark, sf_dir), folder, tokenizer_path())
+    return read_token_files(spark, folder)
+
+
 def catalog() -> tuple[dict, dict]:
     """All queries of the subpackage and their SQL forms, the pipeline included."""
     pipeline = import_module("corpus_pipeline")
