@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.session import cut_lineage
+
 from . import common as C
 
 #: A key with more occurrences is split by whole windows.
@@ -240,11 +242,13 @@ def repeated_spans(docs: DataFrame, unit: Unit, decide: Callable, limit: int) ->
     """
     rows = docs.repartition("did", "dn")
     seen = docs.mapInArrow(_keys_of(unit), "key long, did long, dn long")
-    total = seen.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
+    # Counted by (high bits, key), so that the join deals both sides itself and can split a hot key.
+    total = (seen.groupBy((F.col("key") / (1 << 32)).cast("int").alias("high"), "key").agg(F.count(F.lit(1)).alias("total"))
+             .filter("total > 1").select("key", "total"))
     wanted = seen.join(total, "key")
-    lists = wanted.groupBy("did", "dn").agg(
+    lists = cut_lineage(wanted.groupBy("did", "dn").agg(
         F.collect_set("key").alias("keys"),
-        F.collect_set(F.when(F.col("total") > HOT, F.col("key"))).alias("hot"))
+        F.collect_set(F.when(F.col("total") > HOT, F.col("key"))).alias("hot")))
     suspects = rows.join(lists, ["did", "dn"]).select("did", "dn", "text", "keys", "hot")
     passages = suspects.mapInArrow(_collect(unit), "key long, ctx long, passage binary, n long")
     verdicts = (passages.repartition("key").sortWithinPartitions("key")
