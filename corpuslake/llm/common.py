@@ -35,6 +35,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.xxhash64(identity.isNull(), text).alias("dn"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the key of ``keyed`` as ``__did, __dn``."""
+    return docs.withColumns({"__did": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)),
+                             "__dn": F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{text_col}`"))})
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """An Arrow iterator function from one that maps a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,12 +17,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.session import cut_lineage
 
 from . import common as C
+from .decontamination import bit_filter
 
 #: Linked: 100 * intersection >= 80 * union, so at most a ninth of both sizes differs.
 _NINTH = 9
@@ -306,8 +307,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
     members = cut_lineage(rows.mapInArrow(_members(n), "did long, dn long, n long, sid long").distinct())
     signed = rows.mapInArrow(_signatures(n), "sig long, sid long")
     groups = cut_lineage(signed.repartition("sig").mapInArrow(_groups, "gid long, sid long, rep long").dropDuplicates(["gid", "sid"]))
-    from .decontamination import bit_filter
-
     wanted = bit_filter(groups, "sid")
     found = rows.mapInArrow(_sets_of(n, wanted), "sid long, n long, sketch binary, set binary")
     sets = cut_lineage(found.join(groups.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
@@ -339,11 +338,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", te
     found = cut_lineage(near_duplicates(docs, n, id_col, text_col))
     best = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("did", "dn")).alias("k")).select("k.did", "k.dn")
     stay = best.union(found.filter("component IS NULL").select("did", "dn"))
-    keyed = docs.withColumn("__did", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0))).withColumn(
-        "__dn", F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{text_col}`")))
-    kept = keyed.join(stay.select(F.col("did").alias("__did"), F.col("dn").alias("__dn")), ["__did", "__dn"], "left_semi")
-    from pyspark.sql import Window
-
+    kept = C.with_keys(docs, id_col, text_col).join(stay.select(F.col("did").alias("__did"), F.col("dn").alias("__dn")), ["__did", "__dn"], "left_semi")
     same = Window.partitionBy("__did", "__dn").orderBy(F.lit(0))
     once = kept.withColumn("__at", F.row_number().over(same)).filter(F.expr("__at = 1"))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -98,16 +98,18 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
                    lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(_WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
     rows = measures(docs, text_col).withColumn("__grams", grams)
     repeats = F.when(F.size(F.array_distinct("__grams")) < F.size("__grams"), _repeat_count("__words", "__grams")).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumn("__repeats", repeats).drop("__grams", "__words")
+    # A generator keeps filters on the counts above their computation, which would else be copied into every use.
+    counted = rows.withColumn("__repeats", repeats).withColumn("__m", F.explode_outer(F.array(F.struct("__q", "__repeats"))))
+    rows = counted.drop("__grams", "__words", "__q", "__repeats").withColumn("__q", F.col("__m.__q"))
     matched = (F.col(f"`{lang_col}`").eqNullSafe(F.col("__lang")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
     rows = rows.join(fences, matched, "left")
-    q, n = F.col("__q"), F.col("__q.n_words")
-    failed = (n < 10) | (100 * F.col("__repeats") > 20 * n)
+    q, n, repeated = F.col("__q"), F.col("__q.n_words"), F.col("__m.__repeats")
+    failed = (n < 10) | (100 * repeated > 20 * n)
     inside = [F.coalesce(v.between(F.col("__fences")[m]["low"], F.col("__fences")[m]["high"]), F.lit(True)) for m, v in _ratios().items()]
     kept = ~failed
     for condition in inside:
         kept = kept & condition
     added = {"n_words": n, "word_chars": q["word_chars"], "n_symbols": q["n_symbols"], "n_dup_lines": q["n_dup_lines"],
-             "n_repeat_words": F.col("__repeats"), "base_failed": failed, "kept": kept}
+             "n_repeat_words": repeated, "base_failed": failed, "kept": kept}
     own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     return rows.select(*own, *[v.alias(c) for c, v in added.items()])

@@ -87,7 +87,7 @@ def damaged_copy(pages: DataFrame) -> DataFrame:
 _OP2_SQL = """
 WITH r AS (SELECT page_id, substr(md5(coalesce(html, '')), 1, 2) AS mark, html,
                   strlen('WARC/1.1' || 'WARC-Type: response' || 'WARC-Target-URI: ' || coalesce(url, '')
-                         || 'Content-Type: text/html; charset=utf-8' || 'Content-Length: ') + 14
+                         || 'Content-Type: text/html; charset=utf-8' || 'Content-Length: ') + 16
                   + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) AS size FROM pages),
 o AS (SELECT *, size + CASE WHEN mark = '00' THEN 1 + strlen(CAST(strlen(coalesce(html, '')) + 1 AS VARCHAR)) - strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) ELSE 0 END AS new_size,
              sum(size) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
