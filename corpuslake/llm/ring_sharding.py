@@ -16,8 +16,9 @@ from corpuslake.session import cut_lineage
 
 def ring_points(spark, n_shards: int, vnodes: int, slots: int) -> list[tuple[int, int]]:
     """``(slot, shard)`` of every virtual node in clockwise order; their number is set by the parameters."""
+    shard, node = F.expr(f"id div {vnodes}"), F.expr(f"id % {vnodes}")
     points = spark.range(n_shards * vnodes).select(
-        F.pmod(F.xxhash64(F.lit("virtual node"), "id"), F.lit(slots)).alias("slot"), (F.col("id") % n_shards).alias("shard"), "id")
+        F.pmod(F.xxhash64(F.lit("virtual node"), shard, node), F.lit(slots)).alias("slot"), shard.alias("shard"), "id")
     return [(r["slot"], r["shard"]) for r in points.orderBy("slot", "id").collect()]
 
 
