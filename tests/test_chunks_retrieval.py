@@ -10,50 +10,60 @@ from corpuslake.operators import chunking, retrieval
 CHUNK = "id string, slug string, url string, title string, text string, score double, chunk_index int, total_chunks int, pos int"
 
 
-def plain_split(text, size, overlap):
-    return [row[2] for row in chunking.ChunkText.func().eval(text, size, overlap)]
+@pytest.fixture(scope="module")
+def split(spark):
+    def run(text, size=800, overlap=150):
+        rows = spark.createDataFrame([(text,)], "body string")
+        return chunking.with_chunk_texts(rows, "body", size=size, overlap=overlap).first()["texts"]
+    return run
 
 
-def test_split_edges():
-    assert plain_split("", 800, 150) == [] and plain_split("a\n\n \n\nb", 800, 150) == ["a\n\nb"]
+def test_split_edges(split):
+    assert split("") == [] and split("a\n\n \n\nb") == ["a\n\nb"]
     first, second = "x" * 500, "y" * 400
-    assert plain_split(f"{first}\n\n{second}", 800, 150) == [first, "x" * 150 + "\n\n" + second]
-    assert plain_split("z" * 801, 800, 150) == ["z" * 800, "z" * 151]
-    assert plain_split("a\n\n" + "z" * 801, 800, 150)[0] == "a"
+    assert split(f"{first}\n\n{second}") == [first, "x" * 150 + "\n\n" + second]
+    assert split("z" * 801) == ["z" * 800, "z" * 151]
+    assert split("a\n\n" + "z" * 801)[0] == "a"
     # The kept tail may push the new chunk over the size.
-    assert max(map(len, plain_split("x" * 799 + "\n\n" + "y" * 799, 800, 150))) == 951
+    assert max(map(len, split("x" * 799 + "\n\n" + "y" * 799))) == 951
 
 
-def test_links_are_never_cut():
+def test_links_are_never_cut(split):
     link = "[label text](http://x/file.pdf)"
-    text = "w" * 790 + link + "v" * 600
-    parts = plain_split(text, 800, 150)
+    parts = split("w" * 790 + link + "v" * 600)
     assert parts[0] == "w" * 790 and any(link in p for p in parts)
     assert not any(p.count("[label") != p.count(link) for p in parts)
     long_link = "[a](http://x/" + "u" * 900 + ")"
-    assert plain_split(long_link + "t" * 50, 800, 150)[0] == long_link[:800]
+    assert split(long_link + "t" * 50)[0] == long_link[:800]
 
 
 @pytest.mark.parametrize("size,overlap", [(80, 15), (40, 10), (40, 0), (30, 29)])
-def test_native_and_python_chunks_agree(spark, size, overlap):
+def test_windows_around_links_cover_the_paragraph(spark, size, overlap):
+    """Every window is in the text, windows leave no gap, and none cuts a link that fits."""
     random.seed(size)
+    link = "[l k](http://x/y.pdf)"
     bodies = []
-    for i in range(50):
-        paragraphs = ["".join(random.choice("ab é") for _ in range(random.randint(0, 130))) for _ in range(random.randint(0, 7))]
-        paragraphs = [p[:40] + "[l k](http://x/y.pdf)" + p[40:] if random.random() < 0.3 else p for p in paragraphs]
-        bodies.append((str(i), "\n\n".join(paragraphs)))
+    for i in range(40):
+        words = [random.choice(["ab", "é", "c" * 9, link]) + str(n) for n in range(random.randint(20, 40))]
+        bodies.append((str(i), "".join(words)))
     got = {r.slug: r.texts for r in chunking.with_chunk_texts(spark.createDataFrame(bodies, "slug string, body string"), "body", size=size, overlap=overlap).collect()}
-    assert all(got[slug] == plain_split(body, size, overlap) for slug, body in bodies)
-
-
-def test_chunk_rows_and_table_function(spark):
+    for slug, body in bodies:
+        if len(body) <= size:
+            continue
+        reached, begin = 0, -1
+        for text in got[slug]:
+            begin = body.index(text, begin + 1)
+            assert begin <= reached and len(text) <= size
+            reached = max(reached, begin + len(text))
+            rest = text.replace(link, "")
+            assert "[l k" not in rest or len(text) == size
+        assert body.endswith(got[slug][-1])
+
+
+def test_chunk_rows(spark):
     pages = spark.createDataFrame([("s", "u", "T", "a" * 900), ("e", "u", "T", " ")], "slug string, url string, title string, body string")
     rows = chunking.chunk_pages(pages).orderBy("chunk_index").collect()
     assert [(r.id, r.chunk_index, r.total_chunks, len(r.text)) for r in rows] == [("s#0", 0, 2, 800), ("s#1", 1, 2, 250)]
-    chunking.register_chunker(spark)
-    pages.createOrReplaceTempView("chunk_pages_view")
-    got = spark.sql("SELECT slug, c.* FROM chunk_pages_view, LATERAL chunk_text(body, 800, 150) c ORDER BY chunk_index").collect()
-    assert [(r.slug, r.chunk_index, len(r.text)) for r in got] == [("s", 0, 800), ("s", 1, 250)]
 
 
 # ----------------------------------------------------------------- neighbours, merge
@@ -167,7 +177,7 @@ def test_contextualize(spark):
 def test_expand_by_text_and_resources(spark):
     chunks = spark.createDataFrame([(f"page_{i:02d}", "our office") for i in range(12)] + [("zz", "no"), (None, "office")], "slug string, text string")
     q = spark.createDataFrame([("contact?",)], "query string")
-    assert retrieval.expand_by_text(q, chunks, "office").first().query == "contact? " + " ".join(f"page {i:02d}" for i in range(10))
+    assert retrieval.expand_by_text(q, chunks, "office", limit=10).first().query == "contact? " + " ".join(f"page {i:02d}" for i in range(10))
     assert retrieval.expand_by_text(q, chunks, "nowhere").first().query == "contact?"
     hits = spark.createDataFrame([("q", 1, "[late](http://x/a.pdf) [b](http://x/b.pdf)"), ("q", 0, "[first](http://x/a.pdf)"), ("q", 2, "none")], "q string, rank int, text string")
     rows = retrieval.find_resources(hits, ["q"]).orderBy("place").collect()
