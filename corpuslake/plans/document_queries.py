@@ -13,7 +13,7 @@ W = r"\p{L}\p{N}_"
 
 
 def docs(spark, sf_dir, *columns):
-    return table(spark, sf_dir, "documents", spread=True).select("doc_id", "text", *columns)
+    return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
 
 
 # --------------------------------------------------------------------- redaction
@@ -76,7 +76,7 @@ WITH b AS (SELECT doc_id, text, {blocked_sql("text")} AS category FROM documents
 p AS (SELECT doc_id, CASE WHEN category IS NOT NULL THEN 'block' WHEN t4 <> text THEN 'redact' ELSE 'allow' END AS outcome,
              CASE WHEN category IS NOT NULL THEN text ELSE t4 END AS final_text,
              CASE WHEN category IS NOT NULL THEN ''
-                  ELSE array_to_string(list_filter({sql_list(sorted(fv.TOPIC_LEXICON))}, lambda w: contains(lower(t4), w))[1:5], ',') END AS topics
+                  ELSE array_to_string(list_filter({sql_list(sorted(fv.TOPIC_LEXICON))}, lambda w: contains(lower(t4), w)), ',') END AS topics
       FROM r4)"""
 
 
@@ -135,12 +135,12 @@ PRICED_SQL = """(SELECT 'doc/' || doc_id AS id, text FROM documents
 def currency_detect(spark, sf_dir):
     """Documents, pages and a price sentence per order."""
     d = docs(spark, sf_dir).select(F.concat(F.lit("doc/"), "doc_id").alias("id"), "text")
-    p = table(spark, sf_dir, "pages", spread=True).select(F.concat(F.lit("page/"), "page_id").alias("id"), F.col("html").alias("text"))
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), "page_id").alias("id"), F.col("html").alias("text"))
     amount = F.round("o_totalprice").cast("long").cast("string")
     said = (F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Total price in PHP: "), amount))
             .when(F.col("o_orderstatus") == "O", F.concat(F.lit("We pay $"), amount, F.lit(" or PHP "), amount, F.lit(", no "), "o_orderpriority"))
             .otherwise(F.concat(F.lit("About "), amount, F.lit(" dollars, stack PHP 8.2"))))
-    o = table(spark, sf_dir, "orders", spread=True).select(F.concat(F.lit("order/"), "o_orderkey").alias("id"), said.alias("text"))
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("id"), said.alias("text"))
     every = d.unionByName(p).unionByName(o)
     return every.select("id", F.coalesce(tx.declared_currency(F.col("text")), F.lit("none")).alias("currency"))
 
@@ -192,7 +192,7 @@ def echo_gate(spark, sf_dir):
     """Assistant replies that only repeat the user's latest text."""
     from ..operators.dialogue import last_user_turn
 
-    c = last_user_turn(table(spark, sf_dir, "conversations", spread=True)).filter(F.col("role") == "assistant")
+    c = last_user_turn(table(spark, sf_dir, "conversations")).filter(F.col("role") == "assistant")
     base = F.coalesce("last_user_text", F.lit(""))
     c = c.withColumns({"base": base, "r": tx.content_words(F.col("text")), "b": tx.content_words(base)})
     c = c.withColumns({"novel_words": F.size(tx.novel_words(F.col("r"), F.col("b"))), "share": tx.novelty(F.col("r"), F.col("b"))})
@@ -367,7 +367,7 @@ def name_suggestions(spark, sf_dir):
 
 # ------------------------------------------------------------ relevance and dedupe
 def relevance_sql(column: str) -> str:
-    sample = f"left({column}, 4000)"
+    sample = column
     low = f"lower({sample})"
     bio = sql_match(sample, fv.BIO_MARKERS)
     patterns = dict(fv.IRRELEVANT_DOCUMENT_PATTERNS)
@@ -402,14 +402,23 @@ def dedupe_keep_first(spark, sf_dir):
     return first.join(d.groupBy("sha").agg(F.count(F.lit(1)).alias("copies")), "sha").select("doc_id", "source", "copies")
 
 
-@query("judge_summary", """
-WITH s AS (SELECT source, CASE WHEN quality = 1 AND toxic = 0 THEN 5 WHEN quality = 1 THEN 3 WHEN toxic = 0 THEN 2 END AS score
-           FROM documents JOIN labels USING (doc_id))
+JUDGE_SQL = """s AS (SELECT source, CASE WHEN quality = 1 AND toxic = 0 THEN 5 WHEN quality = 1 THEN 3 WHEN toxic = 0 THEN 2 END AS score
+           FROM documents JOIN labels USING (doc_id))"""
+
+
+@query("judge_summary", f"""
+WITH {JUDGE_SQL}
 SELECT source, count(score) AS total, count(*) FILTER (WHERE score >= 3) AS passed, round(coalesce(avg(score), -1), 6) AS mean_score,
        count(*) FILTER (WHERE score < 3) AS failed, count(*) FILTER (WHERE score IS NULL) AS unscored, count(score) = 0 AS skipped
 FROM s GROUP BY source""")
 def judge_summary(spark, sf_dir):
-    """Judge replies written from the labels, recovered from their JSON and summarised."""
+    """The judge's scores summarised per source."""
+    out = evals.judge_summary(judged(spark, sf_dir), ["source"])
+    return out.withColumn("mean_score", r6(F.coalesce("mean_score", F.lit(-1.0))))
+
+
+def judged(spark, sf_dir):
+    """Judge replies written from the labels, with the score recovered from their JSON."""
     from ..operators.dialogue import recover_verdicts
 
     good, toxic = F.col("quality") == 1, F.col("toxic") == 1
@@ -417,6 +426,4 @@ def judge_summary(spark, sf_dir):
            .when(good, F.lit('{"score": 1} then {"score": 3, "rationale": "ok"}'))
            .when(~toxic, F.lit('```json\n{"rationale": "weak", "score": 2}\n```')).otherwise(F.lit('{"score": true}')))
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    rows = recover_verdicts(rows.withColumn("raw", raw), "raw").withColumn("score", F.col("verdict.score"))
-    out = evals.judge_summary(rows, ["source"])
-    return out.withColumn("mean_score", r6(F.coalesce("mean_score", F.lit(-1.0))))
+    return recover_verdicts(rows.withColumn("raw", raw), "raw").withColumn("score", F.col("verdict.score"))
