@@ -153,38 +153,25 @@ def fingerprint_lines(rows: DataFrame, hash_present: Column | None = None) -> Da
     return rows.select(F.concat_ws(":", "slug", shown).alias("line"))
 
 
-def small_fingerprint(lines: DataFrame, max_rows: int = 100_000) -> str | None:
-    """``n:hash16`` over the sorted lines joined by line breaks, or null above ``max_rows``."""
-    n = lines.count()
-    if n > max_rows:
-        return None
-    row = lines.agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text")).select(
-        F.substring(F.sha2("text", 256), 1, 16).alias("h")).first()
-    return f"{n}:{row['h']}"
-
-
-def tree_fingerprint(lines: DataFrame, digits: int = 4) -> DataFrame:
-    """One row (n, fingerprint) for corpora of any size.
-
-    Lines are hashed, equal ones counted, and grouped by the first ``digits`` hex digits of
-    their hash (16**digits even groups whatever the slugs look like); each group's sorted
-    lines give a digest, the sorted digests give the fingerprint.
+def fingerprint(lines: DataFrame) -> DataFrame:
+    """One row (n, fingerprint), of one form at every size.
+
+    Lines are hashed and equal ones counted.  The hashes are combined in order in three fixed levels: within the first
+    five hex digits, within the first three, and all; the groups are even whatever the slugs look like.
     """
-    hashed = lines.groupBy("line").agg(F.count(F.lit(1)).alias("c")).withColumn("h", F.sha2("line", 256))
-    entry = F.concat_ws(":", "h", "c")
-    buckets = hashed.groupBy(F.substring("h", 1, digits).alias("bucket")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "\n"), 256).alias("digest"),
-        F.sum("c").alias("n"))
-    joined = F.array_join(F.sort_array(F.collect_list("digest")), "\n")
-    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"),
-                       F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
-
-
-def corpus_fingerprint(rows: DataFrame, max_rows: int = 100_000) -> str:
-    """Fingerprint text of a manifest: the plain form while it is small, the tree form above."""
-    lines = fingerprint_lines(rows)
-    plain = small_fingerprint(lines, max_rows)
-    if plain is not None:
-        return plain
-    row = tree_fingerprint(lines).first()
+    hashed = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.sha2("line", 256))
+    level = hashed.select(F.substring("h", 1, 5).alias("prefix"), F.concat_ws(":", "h", "n").alias("digest"), "n")
+
+    def combined(digest: str) -> Column:
+        return F.sha2(F.array_join(F.sort_array(F.collect_list(digest)), "\n"), 256)
+
+    for digits in (3, 0):
+        level = level.groupBy("prefix").agg(combined("digest").alias("digest"), F.sum("n").alias("n"))
+        level = level.withColumn("digest", F.concat_ws(":", "prefix", "digest")).withColumn("prefix", F.substring("prefix", 1, digits))
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.substring(combined("digest"), 1, 16).alias("fingerprint"))
+
+
+def corpus_fingerprint(rows: DataFrame) -> str:
+    """Fingerprint text of a manifest, ``n:hash16``."""
+    row = fingerprint(fingerprint_lines(rows)).first()
     return f"{row['n']}:{row['fingerprint']}"

@@ -95,10 +95,10 @@ def normalize_figures(text: Column) -> Column:
         figure = line.rlike(tx.I + fv.FIGURE_LINE)
         told = F.flatten(F.transform(payloads(line), lambda p, j: F.transform(
             F.split(unbracket(p), rf"(?<=[.!?]){tx.SPACE}+"), lambda s, n: entry(
-                i, i.cast("long") * 1000000 + j * 1000 + n, j, tx.sentence_key(s),
+                i, F.struct(i.alias("line"), j.alias("part"), n.alias("n")), j, tx.sentence_key(s),
                 F.regexp_replace(tx.strip(s), tx.I + fv.RESTATEMENT, "")))))
         told = F.filter(told, lambda e: e["key"] != "")
-        plain = F.array(entry(i, i.cast("long") * 1000000, F.lit(-1), F.concat(F.lit("\x00"), i.cast("string")), line))
+        plain = F.array(entry(i, F.struct(i.alias("line"), F.lit(-1).alias("part"), F.lit(0).alias("n")), F.lit(-1), F.concat(F.lit("\x00"), i.cast("string")), line))
         return F.when(figure, told).otherwise(plain)
 
     kept = tx.keep_first_by_key(F.flatten(F.transform(lines, line_entries)), ["line", "part", "shown"])
@@ -200,11 +200,12 @@ def ordered_union(values: DataFrame, keys: list[str], value: str, order: list[st
     return lists.select(*keys, F.transform("l", lambda e: e["v"]).alias(value))
 
 
-def merge_requirements(groups: DataFrame, own_notes: DataFrame | None = None) -> DataFrame:
+def merge_requirements(groups: DataFrame, own_notes: DataFrame | None = None, max_notes: int | None = None,
+                       note_chars: int | None = None) -> DataFrame:
     """Merge the requirement groups of each document.
 
     Lists are ordered unions, complexity and category take the maximum, attributes let the
-    last group win, and notes are bounded, this pipeline's own ones (``own_notes``: doc, pos,
+    last group win, and notes are bounded only by ``max_notes`` and ``note_chars``, this pipeline's own ones (``own_notes``: doc, pos,
     note) first.
     """
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("l")) for f in LIST_FIELDS])
@@ -237,8 +238,8 @@ def merge_requirements(groups: DataFrame, own_notes: DataFrame | None = None) ->
     named = notes.withColumn("__k", merge_key(F.col("note"))).filter(F.col("__k") != "")
     first = named.groupBy("doc", "__k").agg(F.min(F.struct("src", "group", "pos", tx.strip(F.col("note")).alias("v"))).alias("f"))
     ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("f")))
-    kept = ranked.filter(F.col("n") <= fv.MAX_NOTES).groupBy("doc").agg(F.array_sort(F.collect_list("f")).alias("l"))
-    kept = kept.select("doc", F.transform("l", lambda e: F.left(e["v"], F.lit(fv.MAX_NOTE_CHARS))).alias("extraction_notes"))
+    kept = (ranked if max_notes is None else ranked.filter(F.col("n") <= max_notes)).groupBy("doc").agg(F.array_sort(F.collect_list("f")).alias("l"))
+    kept = kept.select("doc", F.transform("l", lambda e: e["v"] if note_chars is None else F.left(e["v"], F.lit(note_chars))).alias("extraction_notes"))
 
     out = scalars
     for part in (lists, attributes, kept):

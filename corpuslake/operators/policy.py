@@ -69,7 +69,7 @@ def blocked_category(text: Column, patterns=fv.BLOCKED_PATTERNS, literals=fv.BLO
 
 
 def topic_matches(text: Column, extra: Sequence[str] = (), lexicon=fv.TOPIC_LEXICON,
-                  whole_words: bool = False, limit: int | None = 5) -> Column:
+                  whole_words: bool = False, limit: int | None = None) -> Column:
     """Sorted lexicon words found in the text (plain containment unless ``whole_words``)."""
     words = sorted((*lexicon, *extra))
     if whole_words:
@@ -95,12 +95,9 @@ def input_policy(df: DataFrame, text: str, entity_words: Sequence[str] = ()) ->
 
 
 # -------------------------------------------------------------------- relevance
-def document_relevance(text: Column) -> Column:
-    """Kind of an irrelevant document, or null for one that may pass.
-
-    The rule is defined on the opening of a document, which is where it says what it is.
-    """
-    sample = F.substring(text, 1, fv.RELEVANCE_SAMPLE_CHARS)
+def document_relevance(text: Column, opening: int | None = None) -> Column:
+    """Kind of an irrelevant document, or null for one that may pass; the whole text decides unless ``opening`` bounds it."""
+    sample = text if opening is None else F.substring(text, 1, opening)
     low = F.lower(sample)
     bio = sample.rlike(tx.I + fv.BIO_MARKERS)
     brief = sample.rlike(tx.I + fv.BRIEF_MARKERS) & ~(bio & low.contains("resume"))

@@ -95,12 +95,14 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, match_on: str | No
     cells = F.ceil(F.col("n") / cell_rows).cast("int")
     ask_cells = asks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", cells.alias("qcells"))
     row_cells = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", cells.alias("ccells"))
-    grid = ask_cells.join(row_cells, "key")
+    # Without a key the grid is one row, and only that row is broadcast.
+    grid = ask_cells.join(row_cells, "key") if match_on else ask_cells.drop("key").crossJoin(F.broadcast(row_cells.drop("key")))
 
     def spread(side: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return side.join(grid, "key").select(
+        sized = side.join(grid, "key") if match_on else side.crossJoin(F.broadcast(grid))
+        return sized.select(
             "key", "id", "vec", F.lit(is_query).alias("is_query"), mine.alias("own"), every.alias("other"))
 
     left = spread(asks, "qcells", "ccells", True).withColumnsRenamed({"own": "i", "other": "j"})
@@ -110,7 +112,7 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, match_on: str | No
     partial = left.unionByName(right).groupBy("key", "i", "j").applyInPandas(
         _cell_scorer(k, exclude_same_id), f"query_id {ask_type}, id {id_type}, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    return partial.withColumn("rank", (F.row_number().over(best) - 1)).filter(F.col("rank") < k)
+    return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 # -------------------------------------------------------------- query rewriting
@@ -142,11 +144,12 @@ def contextualize(query: Column, last_user_turn: Column, entity: str) -> Column:
     return anchor_entity(F.when(useful, F.concat_ws(" ", before, query)).otherwise(query), entity)
 
 
-def expand_by_text(queries: DataFrame, chunks: DataFrame, word: str, limit: int = 10) -> DataFrame:
-    """Append the slugs of the first ``limit`` pages that mention ``word`` to each query text."""
+def expand_by_text(queries: DataFrame, chunks: DataFrame, word: str, limit: int | None = None) -> DataFrame:
+    """Append the slugs of the pages that mention ``word``, or of the first ``limit`` ones, to each query text."""
     slugs = (chunks.filter(F.col("text").contains(word) & F.col("slug").isNotNull())
-             .select(F.replace(F.col("slug"), F.lit("_"), F.lit(" ")).alias("words")).distinct()
-             .orderBy("words").limit(limit))
+             .select(F.replace(F.col("slug"), F.lit("_"), F.lit(" ")).alias("words")).distinct())
+    if limit is not None:
+        slugs = slugs.orderBy("words").limit(limit)
     extra = slugs.agg(F.array_join(F.sort_array(F.collect_list("words")), " ").alias("__extra"))
     return (queries.crossJoin(F.broadcast(extra))
             .withColumn("query", F.when(F.col("__extra") == "", F.col("query"))

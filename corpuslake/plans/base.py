@@ -12,8 +12,6 @@ from ..session import apply_settings
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_SPREAD_BELOW_BYTES = 1 << 30
-
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
@@ -30,23 +28,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _bytes(spark: SparkSession, location: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(location)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A table of the data directory.
-
-    ``spread`` is for text-heavy work: a table of less than 1 GiB may sit in one row group
-    and thus in one task, so it is dealt out over the cores.  Larger tables already arrive
-    in many splits and are never reshuffled.
-    """
-    location = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(location)
-    if spread and _bytes(spark, location) < _SPREAD_BELOW_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data directory, in the splits that the reader makes at any size."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def r6(value: Column) -> Column:

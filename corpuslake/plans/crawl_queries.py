@@ -112,7 +112,7 @@ def run_report(spark, sf_dir):
 @query("page_extract")
 def page_extract(spark, sf_dir):
     """Title, Markdown size and hash of every page (an HTML parse, which SQL cannot express)."""
-    out = crawl.clean_pages(table(spark, sf_dir, "pages", spread=True))
+    out = crawl.clean_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", "slug", "title", "text_len", "content_hash", "thin")
 
 
@@ -120,7 +120,7 @@ def page_extract(spark, sf_dir):
 SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '&amp', '&')) AS title FROM pages""")
 def page_titles(spark, sf_dir):
     """Titles by the HTML parse, checked against the heading element."""
-    p = table(spark, sf_dir, "pages", spread=True)
+    p = table(spark, sf_dir, "pages")
     return p.select("page_id", extract_page(F.col("html"))["title"].alias("title"))
 
 
@@ -128,7 +128,7 @@ def page_titles(spark, sf_dir):
 WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages)
 SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS digest FROM t""")
 def html_to_text(spark, sf_dir):
-    p = table(spark, sf_dir, "pages", spread=True)
+    p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.sha2(tx.html_to_text(F.col("html")), 256).alias("digest"))
 
 
@@ -194,17 +194,18 @@ def index_counts(spark, sf_dir):
 @query("corpus_fingerprint", """
 WITH l AS (SELECT doc_id || ':' || sha256(text) AS line FROM documents),
 h AS (SELECT sha256(line) AS h, count(*) AS c FROM l GROUP BY line),
-b AS (SELECT sha256(string_agg(h || ':' || c, chr(10) ORDER BY h || ':' || c)) AS digest, sum(c) AS n FROM h GROUP BY left(h, 4))
+a AS (SELECT left(h, 5) AS k, left(h, 5) || ':' || sha256(string_agg(h || ':' || c, chr(10) ORDER BY h || ':' || c)) AS digest, sum(c) AS n FROM h GROUP BY left(h, 5)),
+b AS (SELECT left(k, 3) || ':' || sha256(string_agg(digest, chr(10) ORDER BY digest)) AS digest, sum(n) AS n FROM a GROUP BY left(k, 3))
 SELECT CAST(sum(n) AS BIGINT) AS n, left(sha256(string_agg(digest, chr(10) ORDER BY digest)), 16) AS fingerprint FROM b""")
 def corpus_fingerprint(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("slug"), F.sha2("text", 256).alias("content_hash"))
-    return crawl.tree_fingerprint(crawl.fingerprint_lines(d))
+    return crawl.fingerprint(crawl.fingerprint_lines(d))
 
 
 # ------------------------------------------------------------------------ chunks
 def chunks(spark, sf_dir):
     """Documents cut at line breaks (they hold no blank lines and no links)."""
-    d = table(spark, sf_dir, "documents", spread=True).select(
+    d = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("slug"), "source", F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")).alias("url"),
         F.when(F.col("lang") != "de", F.col("lang")).otherwise("").alias("title"), F.col("text").alias("body"))
     return chunking.chunk_pages(d, sep="\n", links=False)

@@ -26,7 +26,7 @@ def opening():
 
 def turns(spark, sf_dir):
     """Conversation turns, the text behind an opening chosen by its length."""
-    c = table(spark, sf_dir, "conversations", spread=True)
+    c = table(spark, sf_dir, "conversations")
     return c.withColumn("text", F.concat(opening(), "text"))
 
 
@@ -172,8 +172,10 @@ def label_sql(column: str, patterns) -> str:
     return "CASE " + " ".join(f"WHEN {sql_match(column, p)} THEN {sql_text(v)}" for p, v in patterns) + " END"
 
 
+# An invented project catalogue.
+CATALOGUE = ((r"thunder|storm", "Weather Desk"), (r"wh(?:at|en)\b", "Question Board"), (r"the\s+th", "Harbour Map"))
 SLOT_SQL = ", ".join(f"{label_sql('text', p)} AS {n}" for n, p in (
-    ("project_name", fv.PROJECT_PATTERNS), ("topic", fv.TOPIC_PATTERNS), ("service_type", fv.SERVICE_PATTERNS)))
+    ("project_name", CATALOGUE), ("topic", fv.TOPIC_PATTERNS), ("service_type", fv.SERVICE_PATTERNS)))
 
 
 @query("slot_backfill", f"""
@@ -186,7 +188,7 @@ b AS (SELECT a.conv_id, a.turn, a.project_name, a.topic, a.service_type,
 SELECT conv_id, turn, coalesce(project_name, p2, '') AS project_name, coalesce(topic, t2, '') AS topic,
        coalesce(service_type, s2, '') AS service_type, coalesce(topic, t2) IS NULL AS missing_topic FROM b""")
 def slot_backfill(spark, sf_dir):
-    c = turns(spark, sf_dir).withColumn("slots", dialogue.slots(F.col("text")))
+    c = turns(spark, sf_dir).withColumn("slots", dialogue.slots(F.col("text"), CATALOGUE))
     out = dialogue.backfill_slots(dialogue.with_memory(c, value=F.col("slots"), name="memory_slots"))
     return out.select("conv_id", "turn", *[F.coalesce(f"filled.{n}", F.lit("")).alias(n) for n in ("project_name", "topic", "service_type")],
                       (F.size("missing") > 0).alias("missing_topic"))
@@ -293,7 +295,7 @@ def output_policy(spark, sf_dir):
 
 @query("query_expansion", f"""
 WITH {SHORT_SQL}, x AS (SELECT string_agg(w, ' ' ORDER BY w) AS extra FROM (
-  SELECT DISTINCT replace(source || '_' || lang, '_', ' ') AS w FROM documents WHERE contains(text, 'office') OR contains(text, 'under') ORDER BY w LIMIT 10))
+  SELECT DISTINCT replace(source || '_' || lang, '_', ' ') AS w FROM documents WHERE contains(text, 'office') OR contains(text, 'under')))
 SELECT conv_id, turn, CASE WHEN coalesce(extra, '') = '' THEN text ELSE text || ' ' || extra END AS query FROM s, x""")
 def query_expansion(spark, sf_dir):
     """Visitor messages widened by the pages that mention a word (documents named by source and language)."""

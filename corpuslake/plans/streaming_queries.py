@@ -69,7 +69,7 @@ def streaming_index(spark, sf_dir):
     """Chunk table kept from a stream of pages (replays and changes are covered by the tests)."""
     root = place(spark, "index")
     pages = stream(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("slug"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("body"))
+        F.col("doc_id").alias("slug"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("body"), F.lit(0).alias("version"))
 
     def cut(changed):
         return chunk_pages(changed, sep="\n", links=False)

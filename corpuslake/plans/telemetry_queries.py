@@ -9,8 +9,8 @@ from .base import query, r6, table
 BRIEF, ESTIMATE, TERMINAL = "view", "click", "purchase"
 
 
-def events(spark, sf_dir, spread=False):
-    e = table(spark, sf_dir, "events", spread)
+def events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
     return e.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
@@ -229,21 +229,20 @@ feat AS (SELECT doc, v, lower(v) AS key, g, pos FROM (
     SELECT doc, g, unnest([upper(kind) || ' flow', kind || '  ' || k]) AS v0, unnest([0, 1]) AS pos FROM e), LATERAL (SELECT trim(v0) AS v)),
 feat1 AS (SELECT doc, arg_min(v, (g, pos)) AS v, min((g, pos)) AS place FROM (SELECT *, regexp_replace(key, '\\s+', ' ', 'g') AS nk FROM feat) GROUP BY doc, nk),
 cons AS (SELECT doc, arg_min(props, g) AS v, min(g) AS place FROM e GROUP BY doc, lower(props)),
-notes AS (SELECT doc, arg_min(left('saw ' || kind || repeat('!', k::INT + 150), 200), g) AS v, min(g) AS place FROM e GROUP BY doc, kind, k),
-notes8 AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY place) AS n FROM notes),
+notes AS (SELECT doc, arg_min('saw ' || kind || repeat('!', k::INT + 150), g) AS v, min(g) AS place FROM e GROUP BY doc, kind, k),
 attr AS (SELECT doc, kind, arg_max(k, g) AS k FROM e GROUP BY doc, kind),
 sc AS (SELECT doc, max(CASE kind WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 END) AS c,
               max(CASE kind WHEN 'view' THEN 0 WHEN 'error' THEN 2 WHEN 'signup' THEN NULL ELSE 1 END) AS p FROM e GROUP BY doc)
 SELECT sc.doc, (SELECT string_agg(v, '|' ORDER BY place) FROM feat1 WHERE feat1.doc = sc.doc) AS features,
        (SELECT string_agg(v, '|' ORDER BY place) FROM cons WHERE cons.doc = sc.doc) AS constraints,
-       (SELECT sha256(string_agg(v, '|' ORDER BY place)) FROM notes8 WHERE notes8.doc = sc.doc AND n <= 8) AS notes,
+       (SELECT sha256(string_agg(v, '|' ORDER BY place)) FROM notes WHERE notes.doc = sc.doc) AS notes,
        (SELECT string_agg(kind || '=' || k, '|' ORDER BY kind) FROM attr WHERE attr.doc = sc.doc) AS attributes,
        CASE coalesce(c, 1) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS complexity,
        CASE coalesce(p, 1) WHEN 0 THEN 'easy' WHEN 1 THEN 'standard' ELSE 'hard' END AS project_category
 FROM sc""")
 def requirements_merge(spark, sf_dir):
     """Every event is one extracted group of its user's brief."""
-    e, kind = events(spark, sf_dir, spread=True), F.col("event_type")
+    e, kind = events(spark, sf_dir), F.col("event_type")
     k = F.col("k").cast("string")
     none = F.array().cast("array<string>")
     groups = e.select(

@@ -24,11 +24,16 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder.  Read from the session; a private one is made only where none is set."""
+    """The shared checkpoint folder, read from the session.
+
+    A private one is made only on a local master; on a cluster executors would not share it, so none is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if configured is None and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -58,14 +58,17 @@ def _filesystem(spark: SparkSession, location: str):
 
 
 def _replace_text(spark: SparkSession, location: str, text: str) -> None:
+    """Write a draft and rename it over the old file in one step, so a stop in between leaves the old text."""
     fs, path = _filesystem(spark, location)
     _, draft = _filesystem(spark, location + ".tmp")
     stream = fs.create(draft, True)
     stream.write(bytearray(text, "utf-8"))
     stream.close()
-    if fs.exists(path):
-        fs.delete(path, False)
-    fs.rename(draft, path)
+    kinds = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(draft), fs.makeQualified(path), how)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -152,8 +152,11 @@ def streaks(stream: DataFrame, key: str, cap: int = fv.STREAK_CAP) -> DataFrame:
 
 
 # ---------------------------------------------------------------- index upkeep
-def maintain_index(pages: DataFrame, root: str, make_chunks: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Keep a chunk table current from a stream of (slug, content_hash, body, ...) pages.
+def maintain_index(pages: DataFrame, root: str, make_chunks: Callable[[DataFrame], DataFrame],
+                   version: str = "version") -> StreamingQuery:
+    """Keep a chunk table current from a stream of (slug, content_hash, body, version, ...) pages.
+
+    Of several versions of a page in a batch the one with the largest ``version`` counts.
 
     A batch compares content hashes with the published ones and appends only the chunks of
     new and changed pages, so its cost follows the batch and not the table.  Replaying a
@@ -163,7 +166,8 @@ def maintain_index(pages: DataFrame, root: str, make_chunks: Callable[[DataFrame
 
     def change(batch: DataFrame, number: int) -> DataFrame:
         # One page per slug inside a batch.
-        fresh = crawl.keep_first(batch, ["slug"], ["content_hash"])
+        newest = F.max_by(F.struct(*[c for c in batch.columns if c != "slug"]), F.struct(version, "content_hash"))
+        fresh = batch.groupBy("slug").agg(newest.alias("page")).select("slug", "page.*")
         if number == 0:
             changed = fresh
         else:

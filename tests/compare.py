@@ -55,7 +55,7 @@ def main() -> None:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry.queries())
-    spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+    spark = (SparkSession.builder.master(f"local[{os.environ.get('CPUS', 8)}]").config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")

@@ -164,7 +164,7 @@ def test_requirements_merge(spark):
             ("d", 2, ["web", "iOS"], ["sso", "  "], None, None, "High ", "hard", {"a": "2"}, ["note 1"]), ("e", 1, None, None, None, None, "moderate", None, None, None)]
     df = spark.createDataFrame(rows, "doc string, group int, target_platform array<string>, features array<string>, constraints array<string>, tech_stack array<string>, complexity string, project_category string, category_attributes map<string,string>, extraction_notes array<string>")
     own = spark.createDataFrame([("d", 0, "page 7 failed")], "doc string, pos int, note string")
-    got = {r.doc: r for r in documents.merge_requirements(df, own).collect()}
+    got = {r.doc: r for r in documents.merge_requirements(df, own, max_notes=8, note_chars=200).collect()}
     d, e = got["d"], got["e"]
     assert (d.target_platform, d.features, d.constraints, d.tech_stack, d.complexity, d.project_category, d.category_attributes) == (["Web", "iOS"], ["SSO", "Reports"], [], ["Java"], "high", "hard", {"a": "2", "b": "1"})
     assert len(d.extraction_notes) == 8 and d.extraction_notes[:2] == ["page 7 failed", "n" * 200]

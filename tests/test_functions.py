@@ -202,3 +202,13 @@ def test_sliding_list_across_blocks(hot, current):
     got = sq.sliding_list(placed, ["k"], "pos", F.col("n"), 6, "l", current, width=16)
     frame = Window.partitionBy("k").orderBy("t").rowsBetween(-5 if current else -6, 0 if current else -1)
     assert got.withColumn("w", F.collect_list("n").over(frame)).filter("l <> w").count() == 0 and got.count() == 3000
+
+
+def test_long_figures_keep_their_order(one):
+    from corpuslake.operators import documents
+
+    def figure(letter, n):
+        return "> **Figure:** " + " ".join(f"{letter}{i} stands here alone." for i in range(n))
+
+    got = one(documents.normalize_figures(F.col("t")), t=figure("a", 1005) + "\n" + figure("b", 3)).split("\n")
+    assert got[0].endswith("a1004 stands here alone.") and got[1].count("b") >= 3 and "a1003" not in got[1]

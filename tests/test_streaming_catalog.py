@@ -56,14 +56,14 @@ def test_streak_survives_batches(spark, tmp_path):
 
 def test_index_follows_changes_only(spark, tmp_path):
     data, root = tmp_path / "in", str(tmp_path / "out")
-    schema = "slug string, content_hash string, body string"
-    kind = feed(spark, data, [("a", "1", "one"), ("b", "1", "two")], schema=schema)
+    schema = "slug string, content_hash string, body string, version int"
+    kind = feed(spark, data, [("a", "9", "old", 1), ("a", "1", "older", 0), ("a", "5", "one", 2), ("b", "1", "two", 1)], schema=schema)
 
     def run():
         jobs.maintain_index(jobs.read_stream(spark, str(data), kind), root, lambda p: chunk_pages(p))
 
     run()
-    feed(spark, data, [("a", "1", "one"), ("b", "2", "three"), ("c", "1", "four")], schema=schema)
+    feed(spark, data, [("a", "5", "one", 3), ("b", "2", "three", 2), ("c", "1", "four", 1)], schema=schema)
     run()
     assert {r.slug: r.text for r in jobs.current_chunks(spark, root).collect()} == {"a": "one", "b": "three", "c": "four"}
     assert sorted((r.batch, r.slug) for r in jobs.read_log(spark, root).collect()) == [(0, "a"), (0, "b"), (1, "b"), (1, "c")]
