@@ -31,7 +31,7 @@ _SKETCH = 64
 #: Sets a task remembers, so that copies sign once.
 _SEEN = 500_000
 
-_MEMBER = pa.schema([("did", pa.int64()), ("dn", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
+_MEMBER = pa.schema([("did", pa.int64()), ("dn", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary())])
 _GROUP = pa.schema([("gid", pa.int64()), ("sid", pa.int64()), ("rep", pa.int64())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -87,6 +87,12 @@ class Sets:
             total, mixed = np.add.reduceat(self.hash, at), np.bitwise_xor.reduceat(C.mix(self.hash), at)
             self.sid[full] = C.mix(total + C.mix(mixed + self.size[full].astype(np.uint64)))
 
+    def sketches(self) -> list[bytes]:
+        """How many elements of each set fall into each of ``_SKETCH`` buckets, at most 255."""
+        cell = self.doc * _SKETCH + (self.hash & np.uint64(_SKETCH - 1)).astype(np.int64)
+        counts = np.minimum(np.bincount(cell, minlength=len(self.size) * _SKETCH), 255).astype(np.uint8).tobytes()
+        return [counts[i:i + _SKETCH] for i in range(0, len(counts), _SKETCH)]
+
     def take(self, docs: np.ndarray) -> Sets:
         """The sets of some texts."""
         out = object.__new__(Sets)
@@ -126,13 +132,20 @@ class Sets:
         return np.concatenate([none.view(np.uint64), *out_sig]), np.concatenate([none, *out_doc])
 
 
+def _row_keys(part: pa.RecordBatch) -> np.ndarray:
+    """One hash of ``(did, dn)``."""
+    did, dn = (part.column(c).to_numpy().view(np.uint64) for c in ("did", "dn"))
+    return C.mix(C.mix(did) ^ dn)
+
+
 def _members(n: int):
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for part in C.slices(rows, "text"):
             sets = Sets(C.column_bytes(part, "text"), n)
-            out.append((part.column("did").to_numpy(), part.column("dn").to_numpy(), sets.size.astype(np.int64), C.signed(sets.sid)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=_MEMBER)
+            out.append((part.column("did").to_numpy(), part.column("dn").to_numpy(), sets.size.astype(np.int64), C.signed(sets.sid),
+                        C.signed(_row_keys(part)), np.array(sets.sketches(), object)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out), _MEMBER.types)], schema=_MEMBER)
     return C.per_batch(batch)
 
 
@@ -180,23 +193,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(n: int, wanted):
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        sids, sizes, sketches, sets_ = [], [], [], []
-        for part in C.slices(rows, "text"):
-            sets = Sets(C.column_bytes(part, "text"), n)
-            _, once = np.unique(sets.sid, return_index=True)
-            for i in once[(sets.size[once] > 0) & wanted.holds(sets.sid[once])].tolist():
-                own = sets.hash[sets.first[i]:sets.first[i + 1]]
-                bucket = np.bincount((own & np.uint64(_SKETCH - 1)).astype(np.int64), minlength=_SKETCH)
-                sids.append(int(sets.sid[i].astype(np.int64)))
-                sizes.append(len(own))
-                sketches.append(np.minimum(bucket, 255).astype(np.uint8).tobytes())
-                sets_.append(own.tobytes())
-        if not sids:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets_, pa.binary())],
-                                          ["sid", "n", "sketch", "set"])
-    return C.per_batch(batch)
+    """``(sid, set)`` of the rows whose key is wanted, once per task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.holds(_row_keys(batch))))
+            for part in C.slices(batch, "text") if batch.num_rows else ():
+                sets = Sets(C.column_bytes(part, "text"), n)
+                sids = C.signed(sets.sid).tolist()
+                some = [i for i in np.flatnonzero(sets.size).tolist() if sids[i] not in seen]
+                seen.update(sids[i] for i in some)
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array([sids[i] for i in some], pa.int64()), pa.array(
+                        [sets.hash[sets.first[i]:sets.first[i + 1]].tobytes() for i in some], pa.binary())], ["sid", "set"])
+    return run
 
 
 def _may_link(n_a, n_b, sketch_a, sketch_b) -> np.ndarray:
@@ -285,15 +295,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked pairs among ``(a, b)``."""
-    brief = sets.select("sid", "n", "sketch")
-    likely = (pairs.join(brief.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("k_a")), "a")
-              .join(brief.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("k_b")), "b")
-              .mapInArrow(_likely, "a long, b long"))
+def _verified(rows: DataFrame, n: int, pairs: DataFrame, brief: DataFrame) -> DataFrame:
+    """The linked pairs among ``(a, b)``: sketches rule most others out, and the sets of the rest are made again from the texts."""
+    side = lambda c: brief.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"))
+    likely = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long"))
+    asked = likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = bit_filter(asked.join(brief, "sid"), "key")
+    sets = rows.mapInArrow(_sets_of(n, wanted), "sid long, set binary")
     full = (likely.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("set_a")), "a")
             .join(sets.select(F.col("sid").alias("b"), F.col("set").alias("set_b")), "b"))
-    return full.mapInArrow(_linked, "a long, b long")
+    return full.mapInArrow(_linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,21 +315,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
     fewer words is one shingle; repeated rows and equal texts are one component; an empty table gives no rows.
     """
     rows = C.keyed(docs, id_col, text_col)
-    members = cut_lineage(rows.mapInArrow(_members(n), "did long, dn long, n long, sid long").distinct())
+    members = cut_lineage(rows.mapInArrow(_members(n), "did long, dn long, n long, sid long, key long, sketch binary").dropDuplicates(["did", "dn"]))
     signed = rows.mapInArrow(_signatures(n), "sig long, sid long")
     groups = cut_lineage(signed.repartition("sig").mapInArrow(_groups, "gid long, sid long, rep long").dropDuplicates(["gid", "sid"]))
-    wanted = bit_filter(groups, "sid")
-    found = rows.mapInArrow(_sets_of(n, wanted), "sid long, n long, sketch binary, set binary")
-    sets = cut_lineage(found.join(groups.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
+    # One row per set that shares a signature; the row of the smallest key stands for its copies.
+    chosen = F.min_by(F.struct("n", "sketch"), "key")
+    brief = cut_lineage(members.join(groups.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
+        F.min("key").alias("key"), chosen.alias("s")).select("sid", "key", "s.n", "s.sketch"))
     stars = groups.filter("sid != rep").select(F.col("rep").alias("a"), F.col("sid").alias("b")).distinct()
-    first = cut_lineage(_verified(stars, sets))
+    first = cut_lineage(_verified(rows, n, stars, brief))
     labels = components(first)
     placed = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = placed.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("gid")
-    open_ = placed.join(mixed, "gid", "left_semi").join(sets.select("sid", "n", "sketch"), "sid").select("gid", "n", "sid", "comp", "sketch")
+    open_ = placed.join(mixed, "gid", "left_semi").join(brief, "sid").select("gid", "n", "sid", "comp", "sketch")
     across = open_.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_across(), "a long, b long").distinct()
     untested = across.join(stars, ["a", "b"], "left_anti")
-    second = cut_lineage(_verified(untested, sets))
+    second = cut_lineage(_verified(rows, n, untested, brief))
     final = components(first.union(second))
     return members.join(final.withColumnRenamed("node", "sid"), "sid", "left").select(
         "did", "dn", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("component"))
