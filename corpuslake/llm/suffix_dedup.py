@@ -16,23 +16,27 @@ from . import repeats
 from .repeats import Unit
 
 
-def bounded_suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order of ``codes`` (values below 2**16) by their first ``depth`` codes at least, by prefix doubling."""
+def suffix_order(codes: np.ndarray) -> np.ndarray:
+    """Suffix order of ``codes`` (values below 2**16), by prefix doubling; every passage ends with a code of its own."""
     n = len(codes)
     padded = np.concatenate([codes.astype(np.int64) + 1, np.zeros(4, np.int64)])
     key = (padded[:n] << 48) | (padded[1:n + 1] << 32) | (padded[2:n + 2] << 16) | padded[3:n + 3]
-    known = 4
+    order, at = np.argsort(key), np.arange(n)
+    some, key, rank, known = order, key[order], np.empty(n, np.int64), 4
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
-        if known >= depth or (n and rank[order[-1]] == n - 1):
+        # ``at`` are the places still in doubt; suffixes of one group share the place of its first.
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[some] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        alone = new & np.append(new[1:], True)
+        at = at[~alone]
+        if not len(at):
             return order
-        ahead = np.zeros(n, np.int64)
-        if known < n:
-            ahead[:n - known] = rank[known:] + 1
-        key = rank * (n + 1) + ahead
+        some = order[at]
+        ahead = some + known
+        key = rank[some] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        turn = np.argsort(key)
+        some, key = some[turn], key[turn]
+        order[at] = some
         known *= 2
 
 
@@ -55,18 +59,28 @@ def common_prefix_boundaries(codes: np.ndarray, order: np.ndarray, depth: int) -
     nearby = forward[np.minimum(back + 1, n - 1)]
     following = np.where(same[back + 1], nearby, n)      # next place with the same BWT code
     leading = np.where(same[back], forward[back - 1], -1)  # the one before
+    # Within an interval the first and last place of a code begin or end a run of equal codes, so only runs are visited.
+    run = np.cumsum(np.concatenate([[0], bwt[1:] != bwt[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+    ends = np.append(starts[1:], n) - 1
     boundary = np.zeros(n + 1, bool)
     boundary[0] = boundary[n] = True
     low, high = np.array([0]), np.array([n])
-    for _ in range(depth):
+    for level in range(depth):
         if not len(low):
             break
-        size = high - low
+        begin = run[low]
+        size = run[high - 1] - begin + 1
         interval = np.repeat(np.arange(len(low)), size)
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        first, last = leading[at] < low[interval], following[at] >= high[interval]
-        start, end = at[first], at[last]
+        piece = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+        if level:  # a code that ends a passage stands alone, and its places were set first
+            inner = bwt[starts[piece]] < 256
+            interval, piece = interval[inner], piece[inner]
+        lo, hi = low[interval], high[interval]
+        start, end = np.maximum(starts[piece], lo), np.minimum(ends[piece], hi - 1)
+        first, last = leading[start] < lo, following[end] >= hi
         pair = interval.astype(np.int64) << 20
+        start, end = start[first], end[last]
         start = start[np.argsort(pair[first] | bwt[start], kind="stable")]
         end = end[np.argsort(pair[last] | bwt[end], kind="stable")]
         low, high = back[start], back[end] + 1
@@ -81,7 +95,7 @@ def _repeated(unit: Unit, passages: list[bytes], weights: np.ndarray) -> list[np
     codes = np.frombuffer(b"\0".join(passages) + b"\0", np.uint8).astype(np.int64)
     ends = np.cumsum(sizes + 1) - 1
     codes[ends] = 256 + np.arange(len(passages))         # every passage ends with a code of its own
-    order = bounded_suffix_order(codes, unit.length)
+    order = suffix_order(codes)
     group = np.cumsum(common_prefix_boundaries(codes, order, unit.length)) - 1
     owner = np.repeat(np.arange(len(passages)), sizes + 1)
     total = np.bincount(group, weights[owner[order]])
