@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import bisect
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..functions import sequences as sq
@@ -121,59 +116,49 @@ def normalize_figures(text: Column) -> Column:
 
 
 # ---------------------------------------------------------------------- excerpts
-_PAGE_MARK = re.compile(r"^## Page (\d+)", re.MULTILINE)
-
-
-def _fold(text: str) -> str:
-    """Case-folded text of the same length, so that positions hold in the original."""
-    folded = text.casefold()
-    if len(folded) == len(text):
-        return folded
-    return "".join(f if len(f := c.casefold()) == 1 else c for c in text)
-
-
-def _windows(text: str, needle: str) -> list[dict]:
-    hay, wanted, spans = _fold(text), _fold(needle), []
-    at = hay.find(wanted) if wanted else -1
-    while at >= 0 and len(spans) < fv.EXCERPT_MAX:
-        low, high = max(0, at - fv.EXCERPT_WINDOW // 4), min(len(text), at + fv.EXCERPT_WINDOW)
-        if spans and low <= spans[-1]["end"]:
-            spans[-1]["end"] = max(high, spans[-1]["end"])
-        else:
-            spans.append({"start": low, "end": high, "hit": at})
-        at = hay.find(wanted, high)
-    return spans
-
-
-_SPANS = T.ArrayType(T.StructType([
-    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-    T.StructField("hit", T.IntegerType()), T.StructField("page", T.StringType())]))
-
-
-@F.pandas_udf(_SPANS)
-def _excerpt_spans(texts: pd.Series, needles: pd.Series) -> pd.Series:
-    out = []
-    for text, needle in zip(texts, needles):
-        spans = _windows(text, needle) if text and needle else []
-        marks = [(m.start(), m.group(1)) for m in _PAGE_MARK.finditer(text)] if spans else []
-        starts = [s for s, _ in marks]
-        for span in spans:
-            i = bisect.bisect_right(starts, span["hit"]) - 1
-            span["page"] = marks[i][1] if i >= 0 else None
-        out.append(spans)
-    return pd.Series(out)
-
-
-def excerpts(docs: DataFrame, text: str, needle: str) -> DataFrame:
-    """Windows around the hits of a search word, overlaps merged, labelled with the page of the hit.
-
-    Each search resumes after the previous window, so positions depend on one another; the
-    scan is a small helper that only sees rows whose text holds the word.
+_PAGE_MARK = r"(?m)^## Page (\d+)"
+
+
+def _excerpt_spans(text: Column, needle: Column, limit: int | None) -> Column:
+    """Array of struct(start, end, hit): windows around the hits of ``needle``, each search going on behind the last window.
+
+    The text is split in front of every hit, so the lengths of the parts are the places of the hits; a fold over the
+    parts passes over hits inside the last window and lengthens a window that the next one touches.
     """
+    quoted = F.concat(F.lit("(?iu)(?=\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    n, window = F.length(text), fv.EXCERPT_WINDOW
+    begins = F.lower(F.left(text, F.length(needle))) == F.lower(needle)
+    parts = F.transform(F.split(text, quoted), lambda p, i: F.struct(F.length(p).alias("n"), ((i > 0) | begins).alias("hit")))
+
+    def step(acc: Column, part: Column) -> Column:
+        at, spans = acc["at"], acc["spans"]
+        low, high = F.greatest(F.lit(0), at - window // 4), F.least(n, at + window)
+        last = F.get(spans, F.size(spans) - 1)
+        touches = F.coalesce(low <= last["end"], F.lit(False))
+        longer = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(
+            last["start"].alias("start"), F.greatest(last["end"], high).alias("end"), last["hit"].alias("hit"))))
+        added = F.concat(spans, F.array(F.struct(low.alias("start"), high.alias("end"), at.alias("hit"))))
+        counts = part["hit"] & (at >= acc["resume"])
+        if limit is not None:
+            counts = counts & (F.size(spans) < limit)
+        return F.struct((at + part["n"]).alias("at"), F.when(counts, high).otherwise(acc["resume"]).alias("resume"),
+                        F.when(counts & touches, longer).when(counts, added).otherwise(spans).alias("spans"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("resume"),
+                     F.array().cast("array<struct<start:int,end:int,hit:int>>").alias("spans"))
+    return F.when(F.length(needle) > 0, F.aggregate(parts, start, step, lambda acc: acc["spans"]))
+
+
+def excerpts(docs: DataFrame, text: str, needle: str, limit: int | None = None) -> DataFrame:
+    """Windows around the hits of a search word, overlaps merged, labelled with the page of the first hit; at most ``limit`` a document."""
     hay = F.when(F.lower(F.col(text)).contains(F.lower(F.col(needle))), F.col(text))
-    rows = docs.withColumn("__s", _excerpt_spans(hay, F.col(needle)))
+    rows = docs.withColumn("__s", _excerpt_spans(hay, F.col(needle), limit))
     rows = unnest(rows, docs.columns, F.col("__s"), "span", "excerpt")
-    label = F.coalesce(F.concat(F.lit("Page "), F.col("span.page")), F.lit("start of document"))
+    # The last page heading up to the line of the hit.
+    behind = F.substr(F.col(text), F.col("span.hit") + 1, F.length(F.col(text)))
+    upto = F.concat(F.left(F.col(text), F.col("span.hit")), F.substring_index(behind, "\n", 1))
+    pages = F.regexp_extract_all(upto, F.lit(_PAGE_MARK), F.lit(1))
+    label = F.when(F.size(pages) > 0, F.concat(F.lit("Page "), F.get(pages, F.size(pages) - 1))).otherwise(F.lit("start of document"))
     return rows.select(
         *docs.columns, "excerpt", F.col("span.start").alias("start"), F.col("span.end").alias("end"),
         label.alias("page_label"),

@@ -269,3 +269,28 @@ def test_website_price(spark):
     assert [(r.subtotal, r.low, r.high, r.usd_low, r.usd_high) for r in out[:1]] == [(231000, 208000, 266000, 3700, 4750)]
     assert out[1].subtotal == 350000 + 1200000 + 90000 + 40000 + 24000 + 100000 + 8000 + 35000 + 10000 and out[2].subtotal == 66000 and len(out[2]["items"]) == 2
     assert (out[3].problem, out[4].problem, out[3].subtotal) == ("pages", "style", None)
+
+
+def test_excerpts_without_a_bound(spark):
+    """Against a plain scan; a bound keeps the first windows."""
+    import random
+
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["aa", "Aa.", "b" * 300, "## Page 3\n", "\n## Page 12\n", "é"]) for _ in range(rnd.randint(1, 60))) for _ in range(30)]
+    want = {}
+    for doc, text in enumerate(texts):
+        low, spans, resume = text.lower(), [], 0
+        for at in range(len(text) - 1):
+            if low[at:at + 2] == "aa" and at >= resume:
+                resume = min(len(text), at + 1400)
+                if spans and max(0, at - 350) <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], resume)
+                else:
+                    spans.append([max(0, at - 350), resume])
+        want[doc] = spans
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string").withColumn("needle", F.lit("AA"))
+    got = {}
+    for r in documents.excerpts(docs, "text", "needle").orderBy("doc", "excerpt").collect():
+        got.setdefault(r.doc, []).append([r.start, r.end])
+    assert got == {d: s for d, s in want.items() if s}
+    assert documents.excerpts(docs, "text", "needle", limit=1).count() == len(got)
