@@ -27,7 +27,8 @@ from .decontamination import bit_filter
 
 #: Linked: 100 * intersection >= 80 * union, so at most a ninth of both sizes differs.
 _NINTH = 9
-_SKETCH = 64
+#: Bytes of a sketch: the parity of the number of elements in each of as many buckets as it has bits.
+_SKETCH = 128
 #: Sets a task remembers, so that copies sign once.
 _SEEN = 500_000
 
@@ -88,10 +89,11 @@ class Sets:
             self.sid[full] = C.mix(total + C.mix(mixed + self.size[full].astype(np.uint64)))
 
     def sketches(self) -> list[bytes]:
-        """How many elements of each set fall into each of ``_SKETCH`` buckets, at most 255."""
-        cell = self.doc * _SKETCH + (self.hash & np.uint64(_SKETCH - 1)).astype(np.int64)
-        counts = np.minimum(np.bincount(cell, minlength=len(self.size) * _SKETCH), 255).astype(np.uint8).tobytes()
-        return [counts[i:i + _SKETCH] for i in range(0, len(counts), _SKETCH)]
+        """One bit per bucket of hashes: whether the set has an odd number of elements there."""
+        bits = 8 * _SKETCH
+        cell = self.doc * bits + (self.hash & np.uint64(bits - 1)).astype(np.int64)
+        odd = np.packbits((np.bincount(cell, minlength=len(self.size) * bits) & 1).astype(bool)).tobytes()
+        return [odd[i:i + _SKETCH] for i in range(0, len(odd), _SKETCH)]
 
     def take(self, docs: np.ndarray) -> Sets:
         """The sets of some texts."""
@@ -192,6 +194,17 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[a:a + 200_000]) for x in rows], schema=_GROUP)
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """The high 48 bits of sorted hashes; of two sets of a million elements, not one in a hundred would show a false match."""
+    return np.ascontiguousarray(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return np.unique(wide.reshape(-1).view(">u8").astype(np.uint64))
+
+
 def _sets_of(n: int, wanted):
     """``(sid, set)`` of the rows whose key is wanted, once per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,18 +218,18 @@ def _sets_of(n: int, wanted):
                 seen.update(sids[i] for i in some)
                 if some:
                     yield pa.RecordBatch.from_arrays([pa.array([sids[i] for i in some], pa.int64()), pa.array(
-                        [sets.hash[sets.first[i]:sets.first[i + 1]].tobytes() for i in some], pa.binary())], ["sid", "set"])
+                        [_packed(sets.hash[sets.first[i]:sets.first[i + 1]]) for i in some], pa.binary())], ["sid", "set"])
     return run
 
 
 def _may_link(n_a, n_b, sketch_a, sketch_b) -> np.ndarray:
-    """Bucket counts differ by no more than linked sets can differ: never false for a linked pair."""
-    apart = np.abs(sketch_a.astype(np.int16) - sketch_b).sum(axis=-1)
+    """Every bucket whose parity differs holds an element of one set only, and linked sets have few: never false for a linked pair."""
+    apart = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=-1, dtype=np.int64)
     return _NINTH * apart <= n_a + n_b
 
 
 def _bytes_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _SKETCH)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, _SKETCH // 8)
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +244,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
         for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            a, b = _unpacked(a), _unpacked(b)
             both = len(np.intersect1d(a, b, assume_unique=True))
             ok.append(100 * both >= 80 * (len(a) + len(b) - both))
         if ok:
@@ -258,10 +271,18 @@ def _across(block: int = 1024):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
+        told: set[tuple[int, int]] = set()  # families share many groups: a task tells a pair once
 
         def flush():
             t = pa.Table.from_batches(held)
-            yield from pairs(*(t.column(c).to_numpy() for c in ("n", "comp", "sid")), _bytes_matrix(t.column("sketch")))
+            for found in pairs(*(t.column(c).to_numpy() for c in ("n", "comp", "sid")), _bytes_matrix(t.column("sketch"))):
+                new = [p not in told for p in zip(found.column("a").to_pylist(), found.column("b").to_pylist())]
+                found = found.filter(pa.array(new))
+                if len(told) > _SEEN:
+                    told.clear()
+                told.update(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
+                if found.num_rows:
+                    yield found
 
         for batch in batches:
             gid = batch.column("gid").to_numpy()
@@ -302,8 +323,9 @@ def _verified(rows: DataFrame, n: int, pairs: DataFrame, brief: DataFrame) -> Da
     asked = likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = bit_filter(asked.join(brief, "sid"), "key")
     sets = rows.mapInArrow(_sets_of(n, wanted), "sid long, set binary")
-    full = (likely.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("sid").alias("b"), F.col("set").alias("set_b")), "b"))
+    # Both joins deal the sets out by ``sid`` alike, so Spark makes and shuffles them once.
+    half = likely.join(sets, F.col("a") == F.col("sid")).select("a", "b", F.col("set").alias("set_a"))
+    full = half.join(sets, F.col("b") == F.col("sid")).select("a", "b", "set_a", F.col("set").alias("set_b"))
     return full.mapInArrow(_linked, "a long, b long").distinct()
 
 
@@ -322,16 +344,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
     chosen = F.min_by(F.struct("n", "sketch"), "key")
     brief = cut_lineage(members.join(groups.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
         F.min("key").alias("key"), chosen.alias("s")).select("sid", "key", "s.n", "s.sketch"))
-    stars = groups.filter("sid != rep").select(F.col("rep").alias("a"), F.col("sid").alias("b")).distinct()
-    first = cut_lineage(_verified(rows, n, stars, brief))
-    labels = components(first)
-    placed = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = placed.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("gid")
-    open_ = placed.join(mixed, "gid", "left_semi").join(brief, "sid").select("gid", "n", "sid", "comp", "sketch")
+    # First every set with the smallest one it shares a signature with, then groups' smallest across components, then the rest.
+    stars = groups.filter("sid != rep").groupBy("sid", "rep").agg(F.count(F.lit(1)).alias("n"))
+    nearest = stars.groupBy(F.col("sid").alias("b")).agg(F.min("rep").alias("a")).select("a", "b")
+    links = cut_lineage(_verified(rows, n, nearest, brief))
+    tested = nearest
+
+    def placed() -> DataFrame:
+        comp = components(links).withColumnRenamed("node", "sid")
+        return groups.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+
+    now = placed()
+    of = now.select("sid", "comp").distinct()
+    crossing = (stars.select(F.col("rep").alias("a"), F.col("sid").alias("b"))
+                .join(of.select(F.col("sid").alias("a"), F.col("comp").alias("x")), "a")
+                .join(of.select(F.col("sid").alias("b"), F.col("comp").alias("y")), "b").filter("x != y").select("a", "b"))
+    crossing = cut_lineage(crossing.join(tested, ["a", "b"], "left_anti"))
+    links = cut_lineage(links.union(_verified(rows, n, crossing, brief)))
+    tested = tested.union(crossing)
+    now = placed()
+    mixed = now.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("gid")
+    open_ = now.join(mixed, "gid", "left_semi").join(brief, "sid").select("gid", "n", "sid", "comp", "sketch")
     across = open_.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_across(), "a long, b long").distinct()
-    untested = across.join(stars, ["a", "b"], "left_anti")
-    second = cut_lineage(_verified(rows, n, untested, brief))
-    final = components(first.union(second))
+    links = links.union(_verified(rows, n, across.join(tested, ["a", "b"], "left_anti"), brief))
+    final = components(links)
     return members.join(final.withColumnRenamed("node", "sid"), "sid", "left").select(
         "did", "dn", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("component"))
 
