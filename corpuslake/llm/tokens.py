@@ -1,8 +1,8 @@
 """Token ids of whole texts, by the tokenizers library, with a cache of words.
 
-The byte-level tokenizer first cuts a text before every blank that a visible character follows, and encodes the
-pieces on their own.  Splitting there ourselves lets each distinct piece be encoded once per worker; a text in
-which a blank is followed by white space is encoded whole.
+The byte-level tokenizer first cuts a text before every single blank or line end between visible characters, and
+between a letter and the punctuation behind it, and encodes the pieces on their own.  Cutting there ourselves lets
+each distinct piece be encoded once per worker; a text with white space of any other form is encoded whole.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from itertools import chain
 
 import numpy as np
 
-_WIDE = re.compile(r" \s")
-_CACHE_LIMIT = 400_000
+_OTHER_SPACE = re.compile(r"\s\s|[^\S \n]")
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: Pieces kept per worker, about 250 bytes each; an older half is dropped when a younger one is full.
+_CACHE_LIMIT = 1_000_000
 
 
 class Encoder:
@@ -36,19 +38,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _fill(self, pieces: list[str]) -> None:
+        """Put missing pieces into the cache; punctuation behind a letter is encoded apart."""
+        words, older, parts, cores = self.words, self.older, [], set()
+        for piece in pieces:
+            if (known := older.get(piece)) is not None:
+                words[piece] = known
+                continue
+            core = piece.rstrip(_PUNCTUATION)
+            if core == piece or not core[-1:].isalpha():
+                core = piece
+            parts.append((piece, core))
+            if core not in words:
+                if (known := older.get(core)) is not None:
+                    words[core] = known
+                else:
+                    cores.add(core)
+        todo = list(cores)
+        for a in range(0, len(todo), 10_000):
+            some = todo[a:a + 10_000]
+            words.update(zip(some, self._encode([c if c[:1] == "\n" else " " + c for c in some])))
+        for piece, core in parts:
+            if piece != core:
+                end = piece[len(core):]
+                if end not in self.ends:
+                    if len(self.ends) > _CACHE_LIMIT // 10:
+                        self.ends.clear()
+                    self.ends[end] = self._encode([end])[0]
+                words[piece] = words[core] + self.ends[end]
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        split = [None if _WIDE.search(t) else t.split(" ") for t in texts]
-        if len(self.words) > _CACHE_LIMIT:
-            self.words.clear()
+        split = [None if _OTHER_SPACE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        if len(self.words) > _CACHE_LIMIT // 2:
+            self.older, self.words = self.words, {}
         words = self.words
-        new = [w for w in set(chain.from_iterable(s[1:] for s in split if s)) if w not in words]
-        for a in range(0, len(new), 10_000):
-            part = new[a:a + 10_000]
-            words.update(zip(part, self._encode([" " + w for w in part])))
+        self._fill([w for w in set(chain.from_iterable(s[1:] for s in split if s)) if w not in words])
         heads = iter(self._encode([s[0] if s else t for s, t in zip(split, texts)]))
         return [next(heads) if not s else next(heads) + b"".join(map(words.__getitem__, s[1:])) for s in split]
