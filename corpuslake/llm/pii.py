@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,18 +37,15 @@ _INVISIBLE = "­᠎​‌‍‎‏⁠﻿"
 _WIDE_SPACES = "              　"
 _DIGIT_WORDS = {w: str(d) for d, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 
-_OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
+# Tokens are looked for in the lower-cased text; bare words are held against what stands around them in ``_words``.
 _TOKEN = re.compile(
-    rf"(?P<at>\s*{_OPEN}at{_CLOSE}\s*)|(?P<dot>\s*{_OPEN}(?:dot|punkt|point|punto){_CLOSE}\s*)"
-    r"|(?P<bare_at>(?<=\w)\s+at\s+(?=\w))|(?P<bare_dot>(?<=\w)\s+dot\s+(?=\w))"
-    rf"|\b(?P<plus>plus)\s+(?=[0-9]|(?:{'|'.join(_DIGIT_WORDS)})\b)"
-    rf"|\b(?P<digit>{'|'.join(_DIGIT_WORDS)})\b", re.IGNORECASE)
+    r"[\[({<]\s*(?:(?P<at>at)|(?P<dot>dot|punkt|point|punto))\s*[\])}>]\s*"
+    rf"|\b(?:(?P<bare_at>at)|(?P<bare_dot>dot)|(?P<plus>plus)|(?P<digit>{'|'.join(_DIGIT_WORDS)}))\b")
+_BLANKS = re.compile(r"\s+")
+_AFTER_PLUS = re.compile(rf"[0-9]|(?:{'|'.join(_DIGIT_WORDS)})\b")
+_WORD = re.compile(r"\w")
 _LAST_LABELS = "com|org|net|edu|gov|info|biz|dev|app|io|ai|co|me|us|uk|eu|de|fr|es|it|nl|pt|ch|at|be|ca|au|jp|cn|in|ru|br|example|test"
 _BARE_MAIL = re.compile(rf"[A-Za-z0-9._%+-]+\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+(?:{_LAST_LABELS})\b", re.IGNORECASE)
-_BRACKETED = re.compile(rf"{_OPEN}(?:at|dot|punkt|point|punto){_CLOSE}", re.IGNORECASE)
-_SPELLED = re.compile(rf"\b(?:{'|'.join(_DIGIT_WORDS)})\b")
-_DIGIT_GATES = tuple(f" {w} " for w in _DIGIT_WORDS)
-_LEAST_SPELLED = 4
 
 
 def _char_map() -> dict[int, str]:
@@ -104,26 +102,38 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Rewritten:
-    """A text with the source range of every character."""
-
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text = text
-        self.starts = starts if starts is not None else list(range(len(text)))
-        self.ends = ends if ends is not None else list(range(1, len(text) + 1))
-
-    def replace(self, changes: Iterator[tuple[int, int, str]]) -> Rewritten:
-        """Put new characters for ranges; each new character stands for the whole range."""
-        text, starts, ends, at = [], [], [], 0
-        for a, b, new in changes:
-            text += [self.text[at:a], new]
-            starts += self.starts[at:a]
-            ends += self.ends[at:a]
-            if new and b > a:
-                starts += [self.starts[a]] * len(new)
-                ends += [self.ends[b - 1]] * len(new)
+    """A text with ranges replaced, and the source range of every character; each new character stands for its whole range."""
+
+    def __init__(self, source: str | Rewritten, changes: Iterable[tuple[int, int, str]]):
+        self.source = source if isinstance(source, Rewritten) else None
+        old = source.text if isinstance(source, Rewritten) else source
+        # Pieces by their start in the new text: copied ones as (start in the old text, 0), new ones as their old range.
+        self.marks: list[int] = []
+        self.ranges: list[tuple[int, int]] = []
+        parts, at, size = [], 0, 0
+        for a, b, new in (*changes, (len(old), len(old), "")):
+            for piece, was in ((old[at:a], (at, 0)), (new, (a, b))):
+                if piece:
+                    self.marks.append(size)
+                    self.ranges.append(was)
+                    parts.append(piece)
+                    size += len(piece)
             at = b
-        text.append(self.text[at:])
-        return Rewritten("".join(text), starts + self.starts[at:], ends + self.ends[at:])
+        self.text = "".join(parts)
+
+    def start(self, i: int) -> int:
+        """Where the source range of character ``i`` starts."""
+        k = bisect_right(self.marks, i) - 1
+        a, b = self.ranges[k]
+        a = a if b else a + i - self.marks[k]
+        return self.source.start(a) if self.source else a
+
+    def end(self, i: int) -> int:
+        """Where the source range of character ``i`` ends."""
+        k = bisect_right(self.marks, i) - 1
+        a, b = self.ranges[k]
+        last = b - 1 if b else a + i - self.marks[k]
+        return self.source.end(last) if self.source else last + 1
 
 
 def _characters(text: str) -> Iterator[tuple[int, int, str]]:
@@ -131,48 +141,48 @@ def _characters(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), _CHARS[ord(m[0])]
 
 
-def _words(text: str) -> Iterator[tuple[int, int, str]]:
+def _lowered(text: str) -> str:
+    """Lower case of the same length, with the letters that Unicode pairs with ``i`` and ``s``."""
+    if not text.isascii():
+        text = text.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s")
+    return text.lower()
+
+
+def _words(text: str) -> list[tuple[int, int, str]]:
     """Disguised signs, and spelled digits with what stands between two of them.
 
     Bare ``at`` counts only with a spelled-out ``dot`` behind it; bare ``dot`` only there or between digits.
     """
-    mails = [m.span() for m in _BARE_MAIL.finditer(text)]
-    found, digit_end = [], -1
-    matches = list(_TOKEN.finditer(text))
-    for i, m in enumerate(matches):
+    low = _lowered(text)
+    mails = [m.span() for m in _BARE_MAIL.finditer(text)] if "dot" in low else []
+    found, digit_end, done = [], -1, 0
+    for m in _TOKEN.finditer(low):
         kind, (a, b) = m.lastgroup, m.span()
-        if kind in ("at", "dot"):
-            found.append((a, b, "@" if kind == "at" else "."))
-        elif kind == "bare_at":
-            if any(s < a and b < e for s, e in mails):
-                found.append((a, b, "@"))
-        elif kind == "bare_dot":
-            near_digits = digit_end == a or text[a - 1].isdigit()
-            if any(s < a and b < e for s, e in mails) or near_digits:
-                found.append((a, b, "."))
-        elif kind == "plus":
-            found.append((a, b, "+"))
-        else:
+        if kind == "digit":
             # Digits that follow each other closely grow together.
             if digit_end >= 0 and digit_end < a <= digit_end + 2 and not text[digit_end:a].strip(" ,-\t\n"):
                 found.append((digit_end, a, ""))
-            found.append((a, b, _DIGIT_WORDS[m["digit"].lower()]))
-            digit_end = b
-    return iter(found)
-
-
-def _worth_reading(text: str) -> bool:
-    """Whether a text can hold disguised signs or enough spelled digits; only looks for plain substrings first."""
-    if any(c in text for c in "[({<") and _BRACKETED.search(text):
-        return True
-    lower = text.lower()
-    if "dot" in lower and _BARE_MAIL.search(text):
-        return True
-    # Of four spelled digits close together, two at least stand before a blank, a comma or a hyphen.
-    lower = lower.replace("\n", " ").replace(", ", " ").replace("-", " ")
-    if sum(lower.count(w) for w in _DIGIT_GATES) < 2:
-        return False
-    return len(_SPELLED.findall(lower)) >= _LEAST_SPELLED
+            found.append((a, b, _DIGIT_WORDS[m["digit"]]))
+            digit_end = done = b
+            continue
+        blanks = _BLANKS.match(low, b)
+        if kind == "plus":
+            if blanks and _AFTER_PLUS.match(low, blanks.end()):
+                done = blanks.end()
+                found.append((a, done, "+"))
+            continue
+        while a > done and low[a - 1].isspace():
+            a -= 1
+        if kind in ("at", "dot"):
+            found.append((a, b, "@" if kind == "at" else "."))
+            done = b
+        elif blanks and a < m.start() and a > 0 and _WORD.match(low, a - 1) and _WORD.match(low, blanks.end()):
+            b = blanks.end()
+            near_digits = kind == "bare_dot" and (digit_end == a or text[a - 1].isdigit())
+            if near_digits or any(s < a and b < e for s, e in mails):
+                found.append((a, b, "@" if kind == "bare_at" else "."))
+                done = b
+    return found
 
 
 def _has_lookalikes(text: str) -> bool:
@@ -187,17 +197,12 @@ def _has_lookalikes(text: str) -> bool:
 
 def _disguised(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind index, end)`` in the source of what only shows once the text is rewritten."""
-    changed = _has_lookalikes(text)
-    if not changed and not _worth_reading(text):
-        return []
-    rewritten = Rewritten(text)
-    if changed:
-        rewritten = rewritten.replace(_characters(text))
-    if _worth_reading(rewritten.text):
-        rewritten, changed = rewritten.replace(_words(rewritten.text)), True
-    if not changed:
+    rewritten = Rewritten(text, _characters(text)) if _has_lookalikes(text) else None
+    if words := _words(rewritten.text if rewritten else text):
+        rewritten = Rewritten(rewritten or text, words)
+    if not rewritten:
         return []
-    return [(rewritten.starts[a], kind, rewritten.ends[b - 1]) for a, kind, b in plain_spans(rewritten.text)]
+    return [(rewritten.start(a), kind, rewritten.end(b - 1)) for a, kind, b in plain_spans(rewritten.text)]
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

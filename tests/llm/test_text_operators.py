@@ -70,6 +70,29 @@ def test_disguised_identifiers_map_back_to_the_source(spark):
         assert pii.find(clean)[1] == []
 
 
+def test_few_disguised_parts_are_enough():
+    for text, kind in (("192 dot 168 dot 1 dot 1", "ip"), ("10.0.zero.one", "ip"), ("+1 988 55 five 2485", "phone"), ("4387 5130 3523 726 nine", "card"),
+                       ("4387\u00a05130 3523 726 n\u0131ne", "card")):
+        assert pii.find(f"see {text} ok")[1] == [(4, pii.KINDS.index(kind), 4 + len(text))], text
+    assert pii.find("three of 12 at one dot, plus two" + " " * 100_000 + "(" * 100_000)[1] == []
+
+
+def test_mixtures_of_disguises_are_found_whole():
+    """Any part may be spelled, bracketed or plain, also only one of them."""
+    rnd, names = random.Random(5), "zero one two three four five six seven eight nine".split()
+    spell = lambda digits, by: by.join(rnd.choice((str.lower, str.upper, str.title))(names[int(d)]) for d in digits)
+    for _ in range(3000):
+        share = rnd.choice((0, .1, .5, 1))
+        if rnd.random() < .5:
+            kind, parts = "ip", [str(rnd.randrange(256)) for _ in range(4)]
+            text = "".join(rnd.choice((".", " dot ", " DOT\n", "(dot)", " [punkt] ")) * (i > 0) + (spell(p, rnd.choice((" ", "-", ", "))) if rnd.random() < share else p)
+                           for i, p in enumerate(parts))
+        else:
+            kind, digits = "phone", "".join(rnd.choice("123456789") for _ in range(11))
+            text = rnd.choice(("+", "plus ")) + "".join(rnd.choice(" -") * (i > 0) + (spell(d, "") if rnd.random() < share else d) for i, d in enumerate(digits))
+        assert (4, pii.KINDS.index(kind), 4 + len(text)) in pii.find(f"see {text} ok")[1], text
+
+
 def test_plain_spans_match_the_patterns(spark, no_docs):
     rnd = random.Random(2)
     texts = ["".join(rnd.choice("1234567890 .-+()@ab,é4444") for _ in range(60)) for _ in range(800)] + [
