@@ -44,8 +44,22 @@ _TOKEN = re.compile(
 _BLANKS = re.compile(r"\s+")
 _AFTER_PLUS = re.compile(rf"[0-9]|(?:{'|'.join(_DIGIT_WORDS)})\b")
 _WORD = re.compile(r"\w")
-_LAST_LABELS = "com|org|net|edu|gov|info|biz|dev|app|io|ai|co|me|us|uk|eu|de|fr|es|it|nl|pt|ch|at|be|ca|au|jp|cn|in|ru|br|example|test"
-_BARE_MAIL = re.compile(rf"[A-Za-z0-9._%+-]+\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+(?:{_LAST_LABELS})\b", re.IGNORECASE)
+_LABEL = re.compile(r"[a-z0-9-]+")
+_DOT = re.compile(r"(?P<real>\.)|(?P<bracketed>\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*)|\s+(?P<bare>dot)\s+")
+_MARKED = re.compile(r"[a-z][0-9]*[._+][a-z]")
+
+# Last labels of domains (all country codes and common others), and words that show prose around a bare "at" or "dot".
+_COUNTRIES = """ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl
+    cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm
+    hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn
+    mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se
+    sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt
+    za zm zw"""
+_SURE_LABELS = frozenset("""com org net edu gov info biz dev app io ai co me us uk eu de fr es it nl pt ch at be ca au jp cn in ru br
+    example test""".split())
+_LAST_LABELS = _SURE_LABELS | frozenset(_COUNTRIES.split()) | frozenset("mil int name pro xyz online site tech cloud email invalid localhost".split())
+_PROSE = frozenset("""a an the this that these those each every any some one my your his her its our their which what all both and or but then
+    than for from with of on if when while where he she they we you i was were are has had have will would can could not now here there""".split())
 
 
 def _char_map() -> dict[int, str]:
@@ -148,15 +162,81 @@ def _lowered(text: str) -> str:
     return text.lower()
 
 
+def _sign_ahead(low: str, m: re.Match, done: int) -> tuple[int, int]:
+    """Range of an at or dot word with the blanks around it, from ``done`` on."""
+    (a, b), blanks = m.span(), _BLANKS.match(low, m.end())
+    while a > done and low[a - 1].isspace():
+        a -= 1
+    return a, blanks.end() if blanks else b
+
+
+def _is_mail(form: str, marked: bool, prose: bool, dots: list[re.Match], forms: set[str], labels: list[str], n: int) -> bool:
+    """Whether a bare sign counts in an address of ``n`` dots whose at-sign is ``form`` and whose dots are ``forms``: real, bracketed or bare."""
+    last = labels[n]
+    if dots[n - 1].lastgroup == "bare" and last in _PROSE:
+        return False
+    if form != "bare" or "bracketed" in forms:
+        return True
+    known = last in _LAST_LABELS and (marked or labels[0] not in _PROSE) or last.split("-")[0] in _SURE_LABELS
+    if "bare" not in forms:
+        # A plain domain after "at" mostly names a place.
+        return marked and known and labels[0] != "www"
+    return known or last.isalpha() and len(last) > 1 and last not in _DIGIT_WORDS and not prose and (marked or n > 1)
+
+
+def _mail_signs(low: str, tokens: list[re.Match]) -> set[int]:
+    """Where the bare ``at`` and ``dot`` words of addresses stand, in any mixture with real and bracketed signs.
+
+    A candidate is a local part, a sign, and labels with dots between; it is judged as a whole, and the longest that passes is taken.
+    """
+    found: set[int] = set()
+    kinds = {m.lastgroup for m in tokens}
+    if "bare_at" not in kinds and "bare_dot" not in kinds:
+        return found
+    ats = [(*_sign_ahead(low, m, 0), m.start(), "bracketed" if m.lastgroup == "at" else "bare") for m in tokens if m.lastgroup in ("at", "bare_at")]
+    if "bare_dot" in kinds:
+        at = low.find("@")
+        while at >= 0:
+            ats.append((at, at + 1, at, "real"))
+            at = low.find("@", at + 1)
+    for a, b, word, form in ats:
+        # A bare sign has blanks on both sides.
+        if a == 0 or low[a - 1] not in _LOCAL or form == "bare" and (a == word or b == word + 2):
+            continue
+        label, dots, labels, ends = _LABEL.match(low, b), [], [], []
+        while label:
+            labels.append(label[0])
+            ends.append(label.end())
+            dot = _DOT.match(low, label.end())
+            label = _LABEL.match(low, dot.end()) if dot else None
+            if label:
+                dots.append(dot)
+        start = a
+        while start > 0 and low[start - 1] in _LOCAL:
+            start -= 1
+        marked, prose, forms, taken = _MARKED.search(low, start, a) is not None, bool(labels) and labels[0] in _PROSE, set(), 0
+        for n, dot in enumerate(dots, 1):
+            forms.add(dot.lastgroup)
+            prose = prose or labels[n] in _PROSE
+            if not _WORD.match(low, ends[n]) and _is_mail(form, marked, prose, dots, forms, labels, n):
+                taken = n
+        if taken:
+            found.update(d.start("bare") for d in dots[:taken] if d["bare"])
+            if form == "bare":
+                found.add(word)
+    return found
+
+
 def _words(text: str) -> list[tuple[int, int, str]]:
     """Disguised signs, and spelled digits with what stands between two of them.
 
-    Bare ``at`` counts only with a spelled-out ``dot`` behind it; bare ``dot`` only there or between digits.
+    Bare ``at`` counts only in a whole address; bare ``dot`` only there or between digits.
     """
     low = _lowered(text)
-    mails = [m.span() for m in _BARE_MAIL.finditer(text)] if "dot" in low else []
+    tokens = list(_TOKEN.finditer(low))
+    mails = _mail_signs(low, tokens)
     found, digit_end, done = [], -1, 0
-    for m in _TOKEN.finditer(low):
+    for m in tokens:
         kind, (a, b) = m.lastgroup, m.span()
         if kind == "digit":
             # Digits that follow each other closely grow together.
@@ -164,24 +244,19 @@ def _words(text: str) -> list[tuple[int, int, str]]:
                 found.append((digit_end, a, ""))
             found.append((a, b, _DIGIT_WORDS[m["digit"]]))
             digit_end = done = b
-            continue
-        blanks = _BLANKS.match(low, b)
-        if kind == "plus":
+        elif kind == "plus":
+            blanks = _BLANKS.match(low, b)
             if blanks and _AFTER_PLUS.match(low, blanks.end()):
                 done = blanks.end()
                 found.append((a, done, "+"))
-            continue
-        while a > done and low[a - 1].isspace():
-            a -= 1
-        if kind in ("at", "dot"):
-            found.append((a, b, "@" if kind == "at" else "."))
+        else:
+            a, b = _sign_ahead(low, m, done)
+            if kind in ("bare_at", "bare_dot") and m.start() not in mails:
+                near_digits = kind == "bare_dot" and a > 0 and (digit_end == a or text[a - 1].isdigit())
+                if not near_digits or a == m.start() or b == m.end() or not _WORD.match(low, b):
+                    continue
+            found.append((a, b, "@" if kind.endswith("at") else "."))
             done = b
-        elif blanks and a < m.start() and a > 0 and _WORD.match(low, a - 1) and _WORD.match(low, blanks.end()):
-            b = blanks.end()
-            near_digits = kind == "bare_dot" and (digit_end == a or text[a - 1].isdigit())
-            if near_digits or any(s < a and b < e for s, e in mails):
-                found.append((a, b, "@" if kind == "bare_at" else "."))
-                done = b
     return found
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -54,6 +55,15 @@ def test_proximity_allows_gaps(spark):
 DISGUISED = {
     "mail bob [at] mail (dot) example (dot) com now": ("email", "bob [at] mail (dot) example (dot) com"),
     "to bob at mail dot example dot com please": ("email", "bob at mail dot example dot com"),
+    "mail bob (at) example dot com now": ("email", "bob (at) example dot com"),
+    "mail bob at example [dot] com now": ("email", "bob at example [dot] com"),
+    "mail bob@example dot com now": ("email", "bob@example dot com"),
+    "mail bob@mail.example DOT com. Then": ("email", "bob@mail.example DOT com"),
+    "mail bob at mail dot example dot se now": ("email", "bob at mail dot example dot se"),
+    "mail bob at example dot se, now": ("email", "bob at example dot se"),
+    "mail bob at mail.example dot museum now": ("email", "bob at mail.example dot museum"),
+    "mail b.lee at example dot museum now": ("email", "b.lee at example dot museum"),
+    "mail b.lee at example.com now": ("email", "b.lee at example.com"),
     "see bоb@mail.example.com": ("email", "bоb@mail.example.com"),
     "user​@mail.example.com": ("email", "user​@mail.example.com"),
     "ring plus one nine eight eight five five five two four eight five ok": ("phone", "plus one nine eight eight five five five two four eight five"),
@@ -93,6 +103,23 @@ def test_mixtures_of_disguises_are_found_whole():
         assert (4, pii.KINDS.index(kind), 4 + len(text)) in pii.find(f"see {text} ok")[1], text
 
 
+def test_mixed_signs_of_an_address_are_found_whole():
+    """Every mixture of real, bracketed and bare signs, but a bare "at" before a plain domain."""
+    ats, dots = ("@", " (at) ", "[at]", " at ", " AT\n"), (".", " (dot) ", "[punkt]", " dot ", "\tDot ")
+    for at, one, two in itertools.product(ats, dots, dots):
+        if at.strip() == "@" and one == two == "." or at.strip().lower() == "at" and one == two == ".":
+            continue
+        text = f"bob{at}mail{one}example{two}se"
+        assert (4, 0, 4 + len(text)) in pii.find(f"see {text}, ok")[1], text
+
+
+def test_prose_around_bare_signs_stays():
+    for clean in ("look at the dot now", "stare at this dot so that", "look at polka dot dresses", "he was at home dot dot dot", "papers at www.example.com", "hosted at example.com",
+                  "version at three dot five dot two", "at", "dot", " at dot ", "look at it. dot com", "a" * 100_000 + " at b dot", "a at b dot " * 20_000, "a at" + " 500 dot" * 50_000):
+        assert pii.find(clean)[1] == [], clean[:50]
+    assert pii.find("to bob@example.com dot then")[1] == [(3, 0, 18)]
+
+
 def test_plain_spans_match_the_patterns(spark, no_docs):
     rnd = random.Random(2)
     texts = ["".join(rnd.choice("1234567890 .-+()@ab,é4444") for _ in range(60)) for _ in range(800)] + [
