@@ -207,16 +207,35 @@ def decontamination(docs: DataFrame, items: DataFrame, length: int = 13, id_col:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def near_pairs(windows: DataFrame, counts: DataFrame, slop: int) -> DataFrame:
+    """``(wid, rare, other, gap, spare)``: pairs of the three rarest terms of a window that occur; ``spare`` is the third, to be missing for a later pair.
+
+    Up to ``slop`` terms of a window may occur nowhere; of a window of several words, two have to occur.
+    """
+    terms = windows.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
+    ranked = terms.join(counts, "term").groupBy("wid", "size").agg(F.sort_array(F.collect_list(F.struct("n", "at", "term"))).alias("t"))
+    kept = ranked.filter((F.col("size") - F.size("t") <= slop) & ((F.size("t") > 1) | (F.col("size") == 1)))
+    t = [F.get("t", F.lit(i)) for i in range(3)]
+
+    def pair(a, b, spare):
+        return F.struct(a["term"].alias("rare"), b["term"].alias("other"), (b["at"] - a["at"]).cast("long").alias("gap"), spare.alias("spare"))
+
+    none = F.lit(None).cast("long")
+    pairs = F.array(pair(t[0], F.coalesce(t[1], t[0]), none), pair(t[0], t[2], t[1]["term"]), pair(t[1], t[2], t[0]["term"]))
+    return kept.select("wid", F.explode(pairs).alias("p")).select("wid", "p.*").filter("other IS NOT NULL")
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, length: int = 13, slop: int = 5, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(id_col, item, at, distance)``: places where a window's two rarest terms stand up to ``slop`` words off their distance.
 
-    The postings of both terms are joined by document and block of positions, so no document pairs all its postings.
+    Terms that occur in no document are passed over, and where one of the two is not near, the third rarest stands for it;
+    so one replaced word loses no match, whether or not it occurs elsewhere.  The postings of both terms are joined by document and block of positions, so no document pairs all its postings.
     """
     rows = C.keyed(docs, id_col, text_col)
     windows = test_windows(items, length, item_col, item_text_col)
     distinct = windows.dropDuplicates(["wid"]).select("wid", "words", "terms")
-    asked = cut_lineage(asked_pairs(distinct, term_counts(rows, distinct.select(F.explode("terms").alias("term")))))
+    asked = cut_lineage(near_pairs(distinct, term_counts(rows, distinct.select(F.explode("terms").alias("term"))), slop))
     chosen = bit_filter(asked.select(F.explode(F.array("rare", "other")).alias("term")), "term")
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -231,11 +250,14 @@ def proximity_matches(docs: DataFrame, items: DataFrame, length: int = 13, slop:
     postings = rows.mapInArrow(C.per_batch(batch), f"{id_col} {dict(rows.dtypes)[id_col]}, did long, dn long, term long, at long")
     width = length + slop
     block = lambda c: F.floor(c / F.lit(width)).cast("long")
-    ask = asked.select("wid", "rare", "other", (F.col("other_at") - F.col("rare_at")).alias("gap"))
-    left = postings.join(ask, F.col("term") == F.col("rare")).select(
-        id_col, "did", "dn", "wid", "other", "gap", F.col("at").alias("p"), F.explode(F.array(*[block(F.col("at")) + d for d in (-1, 0, 1)])).alias("block"))
+    blocks = F.explode(F.array(*[block(F.col("at")) + d for d in (-1, 0, 1)])).alias("block")
+    left = postings.join(asked, F.col("term") == F.col("rare")).select(
+        id_col, "did", "dn", "wid", "other", "gap", "spare", F.col("at").alias("p"), blocks)
     right = postings.select("did", "dn", F.col("term").alias("other"), F.col("at").alias("q"), block(F.col("at")).alias("block"))
     near = left.join(right, ["did", "dn", "other", "block"]).withColumn("distance", F.abs(F.col("q") - F.col("p") - F.col("gap"))).filter(
         F.col("distance") <= slop)
+    spare = postings.select(*(F.col(c).alias(f"s_{c}") for c in ("did", "dn", "term", "at")), blocks.alias("s_block"))
+    near = near.join(spare, (F.col("did") == F.col("s_did")) & (F.col("dn") == F.col("s_dn")) & (F.col("spare") == F.col("s_term"))
+                     & (block(F.col("p")) == F.col("s_block")) & (F.abs(F.col("p") - F.col("s_at")) <= width), "left_anti")
     return near.join(windows.select("wid", "item").distinct(), "wid").groupBy(id_col, "item", F.col("p").alias("at")).agg(
         F.min("distance").alias("distance"))

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from corpuslake.llm import common as C
 from corpuslake.llm import pii
 from corpuslake.llm.decontamination import decontamination, proximity_matches
@@ -52,6 +54,18 @@ def test_proximity_allows_gaps(spark):
     assert near[1] == 0 and near[2] == 1 and 4 not in near and 3 not in near
 
 
+@pytest.mark.parametrize("elsewhere", [False, True])
+def test_proximity_allows_a_replaced_word(spark, elsewhere):
+    """The replaced middle word is the window's rarest, and occurs nowhere or only far from the copy."""
+    words = [f"k{i}" for i in range(13)]
+    copy = " ".join(words[:6] + ["other"] + words[7:])
+    rows = [(1, copy), (2, " ".join(words)), (3, copy + " x" * 40), (4, "k0 k1"), (5, "x y z")][0:None if elsewhere else 1]
+    docs = spark.createDataFrame(rows + [(6, copy + " x" * 40 + (" k6" if elsewhere else " x")), (7, "x y")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, " ".join(words)), (8, "x " + " ".join(f"u{i}" for i in range(11)) + " y")], "item_id long, text string")
+    near = {(r["doc_id"], r["item"]): r["distance"] for r in proximity_matches(docs, items).collect()}
+    assert near == {(d, "9"): 0 for d in ((1, 2, 3, 6) if elsewhere else (1, 6))}
+
+
 DISGUISED = {
     "mail bob [at] mail (dot) example (dot) com now": ("email", "bob [at] mail (dot) example (dot) com"),
     "to bob at mail dot example dot com please": ("email", "bob at mail dot example dot com"),
