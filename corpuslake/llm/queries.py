@@ -153,6 +153,106 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_ids(C.table(spark, sf_dir))
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, which the SQL engine does not have."""
+    bit = "list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({codes}, lambda a, b: {bit}, CAST(4294967295 AS BIGINT)))"
+
+
+_OP11_SQL = f"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, count(*) AS n, {_crc32_sql('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM o GROUP BY conv_id),
+k AS (SELECT s.conv_id, s.h, least(s.h, coalesce(l.n, 0)) AS taken FROM s LEFT JOIN s l ON l.conv_id = s.conv_id - s.conv_id % 5),
+r AS (SELECT k.conv_id, o.pos, o.role, o.text FROM k JOIN o ON o.conv_id = k.conv_id - k.conv_id % 5 AND o.pos < k.h
+      UNION ALL SELECT k.conv_id, o.pos - k.h + k.taken, o.role, o.text FROM k JOIN o ON o.conv_id = k.conv_id AND o.pos >= k.h),
+seq AS (SELECT k.conv_id, coalesce(list(sha256(strlen(r.role) || ':' || r.role || r.text) ORDER BY r.pos) FILTER (r.pos IS NOT NULL), []) AS names,
+               coalesce(list(strlen(r.text) ORDER BY r.pos) FILTER (r.pos IS NOT NULL), []) AS sizes
+        FROM k LEFT JOIN r USING (conv_id) GROUP BY k.conv_id),
+p AS (SELECT conv_id, d, array_to_string(names[1:d], ',') AS prefix, CASE WHEN d > 0 THEN array_to_string(names[1:d - 1], ',') END AS parent,
+             d = len(names) AS ended, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes
+      FROM (SELECT *, unnest(range(0, len(names) + 1)) AS d FROM seq)),
+n AS (SELECT d, prefix, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM p GROUP BY d, prefix),
+c AS (SELECT n.*, (SELECT count(*) FROM n m WHERE m.d = n.d + 1 AND m.parent = n.prefix) AS n_children FROM n),
+t AS (SELECT a.d, a.prefix, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.saved) AS saved_tokens
+      FROM c a JOIN c b ON b.d >= a.d AND (a.d = 0 OR b.prefix = a.prefix OR starts_with(b.prefix, a.prefix || ',')) GROUP BY a.d, a.prefix)
+SELECT c.conv_id, CAST(c.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(c.n_convs AS BIGINT) AS n_convs, CAST(c.n_children AS BIGINT) AS n_children,
+       CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM c JOIN t USING (d, prefix) LEFT JOIN n q ON q.d = c.d - 1 AND q.prefix = c.parent
+"""
+
+
+@query("op11_prefix_trie", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations, with its totals."""
+    from .prefix_trie import ordered_turns, prefix_trie, rebuilt
+
+    sizes, turns = rebuilt(ordered_turns(C.table(spark, sf_dir, "conversations")))
+    return prefix_trie(sizes, turns, texts=False)
+
+
+# The tables' pages hold their text in one article element, without parts of other kinds, and these four references.
+_OP12_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '(?i)</?(?:h1|p|br)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', chr(1), 'g'), chr(1), '&') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
+
+@query("op12_line_blocks", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from .line_blocks import extract_main_text
+
+    return extract_main_text(C.table(spark, sf_dir, "pages"))
+
+
+def _leaf_sql(text: str) -> str:
+    part = lambda v: f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || {v}, '-')"
+    return f"sha256({' || '.join(part(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, {_leaf_sql('text')} AS leaf,
+       CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS forged FROM documents),
+f AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+lower_tree AS (SELECT tree, 0 AS level, i, n, leaf AS h FROM f
+  UNION ALL SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM lower_tree WHERE n > 1 GROUP BY tree, level, i // 3, n),
+upper_tree AS (SELECT 0 AS level, tree AS i, count(*) OVER () AS n, h FROM lower_tree WHERE n = 1
+  UNION ALL SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM upper_tree WHERE n > 1 GROUP BY level, i // 3, n),
+w AS (SELECT doc_id, tree, leaf, 0 AS level, i, n, '' AS proof, forged AS h FROM f
+  UNION ALL SELECT w.doc_id, w.tree, w.leaf, w.level + 1, w.i // 3, (w.n + 2) // 3, w.proof || s.siblings, sha256(s.before || w.h || s.after)
+  FROM w, LATERAL (SELECT coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i <> w.i), '') AS siblings, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < w.i), '') AS before,
+                          coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > w.i), '') AS after
+                   FROM lower_tree t WHERE t.tree = w.tree AND t.level = w.level AND t.i // 3 = w.i // 3) s WHERE w.n > 1),
+u AS (SELECT w.doc_id, w.leaf, w.h AS folded, w.proof, w.tree AS i, 0 AS level, (SELECT count(*) FROM lower_tree WHERE n = 1) AS n, x.h AS subroot, w.h
+      FROM w JOIN lower_tree x ON x.tree = w.tree AND x.n = 1 WHERE w.n = 1
+  UNION ALL SELECT u.doc_id, u.leaf, u.folded, u.proof || s.siblings, u.i // 3, u.level + 1, (u.n + 2) // 3, u.subroot, sha256(s.before || u.h || s.after)
+  FROM u, LATERAL (SELECT coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i <> u.i), '') AS siblings, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < u.i), '') AS before,
+                          coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > u.i), '') AS after
+                   FROM upper_tree t WHERE t.level = u.level AND t.i // 3 = u.i // 3) s WHERE u.n > 1)
+SELECT u.doc_id, u.leaf, u.subroot, r.h AS root, sha256(u.proof) AS proof_sha256, u.h AS folded_root, u.h = r.h AS verified
+FROM u, (SELECT h FROM upper_tree WHERE n = 1) r WHERE u.n = 1
+"""
+
+
+@query("op13_manifest_proofs", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the dataset's Merkle manifest, and whether its delivered text still proves it."""
+    from .manifest_proofs import manifest, record_digest
+
+    fields = lambda text: [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    text = F.col("text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    forged = F.when(tampered & text.contains("\n"), record_digest(*fields(F.replace(text, F.lit("\n"), F.lit("")))))
+    return manifest(C.table(spark, sf_dir), "doc_id", "source", record_digest(*fields(text)), forged).drop("segment")
+
+
 def tokenizer_path() -> str:
     """The public byte-level tokenizer that the queries use."""
     import public_tokenizers
