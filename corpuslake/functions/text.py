@@ -79,15 +79,16 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-def html_to_text(value: Column, limit: int | None = None) -> Column:
-    """Drop script and style blocks and tags, unescape entities, collapse white space.
+def unescape(value: Column) -> Column:
+    """Character references decoded; only rows that hold an ampersand cross to Python."""
+    return F.coalesce(_unescape(F.when(value.contains("&"), value)), value)
 
-    Only rows that still hold an ampersand cross to Python.
-    """
+
+def html_to_text(value: Column, limit: int | None = None) -> Column:
+    """Drop script and style blocks and tags, unescape entities, collapse white space."""
     text = F.regexp_replace(value, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]+>", " ")
-    unescaped = F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
-    text = strip(F.regexp_replace(unescaped, rf"{SPACE}+", " "))
+    text = strip(F.regexp_replace(unescape(text), rf"{SPACE}+", " "))
     return F.substring(text, 1, limit) if limit else text
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
-from ..functions.markup import extract_page
 from ..sources.schemas import MANIFEST_COLUMNS
+from .pages import extract_pages
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -75,9 +75,7 @@ def skipped_rows(previous: DataFrame, plan: DataFrame) -> DataFrame:
 
 def clean_pages(raw: DataFrame, title_suffix: str = "", thin_below: int = fv.THIN_PAGE_CHARS) -> DataFrame:
     """Raw pages (url, html, ...) with title, markdown, length, hash and thin flag."""
-    page = raw.withColumn("__p", extract_page(F.col("html"), title_suffix))
-    page = page.withColumns({"title": F.col("__p.title"), "markdown": F.col("__p.markdown")}).drop("__p")
-    return page.withColumns({
+    return extract_pages(raw, title_suffix).withColumns({
         "slug": tx.slugify(F.col("url")),
         "text_len": F.length("markdown"),
         "content_hash": F.concat(F.lit("sha256:"), F.sha2(F.col("markdown"), 256)),

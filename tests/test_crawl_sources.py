@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslake.functions.markup import page_text
 from corpuslake.operators import crawl
+from corpuslake.operators.pages import extract_pages
 from corpuslake.sources import readers, schemas, writers
 
 
@@ -97,8 +97,30 @@ def test_fingerprints(spark):
     ("<p>no body &amp; text", "", ""),
     ("<body><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><ol><li>x</li></ol></body>", "", "| a | b |\n| --- | --- |\n| 1 | 2 |\n\n1. x"),
     ("<body><div id='my-cookie'>no</div><div class='et_pb_post_x'>yes</div><noscript>n</noscript><form>f</form></body>", "", "yes")])
-def test_page_text(markup, title, body):
-    assert page_text(markup, " - Acme") == (title, body)
+def test_page_text(spark, markup, title, body):
+    assert page_text(spark, markup, " - Acme") == (title, body)
+
+
+def page_text(spark, markup, suffix=""):
+    return tuple(extract_pages(spark.createDataFrame([(markup,)], "html string"), suffix).select("title", "markdown").first())
+
+
+@pytest.mark.parametrize("markup,body", [
+    ("<body><div><nav>a<div>b</div></nav>c</div><header><header>d</header>e</header>f</body>", "c\n\nf"),
+    ("<body><div class='share'><p>x<p>y</div><p class=social>z<p>kept</body>", "kept"),
+    ("<body><ul><li>a<ul><li>b</li></ul></li><li><p>c</p></li></ul><ol><li>x</li><li>y</li></ol></body>", "* a\n  * b\n* c\n\n1. x\n2. y"),
+    ("<body><blockquote><p>a</p><p>b</p></blockquote><pre> x\n  y </pre><hr><h3> </h3><b> bold </b>t<i></i></body>", "> a\n\n> b\n\n```\n x\n  y\n```\n\n---\n\n**bold** t"),
+    ("<body><!-- <main>no</main> --><a href=\"/a?b=1&amp;c=2\"> l &lt; m </a><a>n</a><a href=/q></a> 1 < 2 <img src=s alt='A>B'></body>", "[l < m](/a?b=1&c=2)n 1 < 2 ![A>B](s)"),
+    ("<body><main>one</main><main>two</main></body>", "one"), ("<body><article>a</article><header><article>b</article></header></body>", "a")])
+def test_page_markdown(spark, markup, body):
+    assert page_text(spark, markup)[1] == body
+
+
+def test_pages_keep_their_columns(spark):
+    rows = [(1, "<body>a", "x", 5), (1, "<body>a", "x", 5), (None, None, None, None), (2, "", "y", 1), (3, "<body><p>" + "w " * 200000 + "<b>" * 3000, "z", 2)]
+    out = extract_pages(spark.createDataFrame(rows, "pos int, html string, tag string, `end` int")).collect()
+    assert sorted((r.pos or 0, r.tag, r["end"], None if r.markdown is None else len(r.markdown)) for r in out) == [
+        (0, None, None, None), (1, "x", 5, 1), (1, "x", 5, 1), (2, "y", 1, 0), (3, "z", 2, 399999)]
 
 
 def test_clean_pages(spark):
