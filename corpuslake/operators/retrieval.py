@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -14,13 +17,12 @@ from ..functions import text as tx
 from ..functions.exprs import unnest
 
 CELL_ROWS = 1024
+_WORD = re.compile(r"\w+")
 _SCORE_DIGITS = 9
 
 
 # ------------------------------------------------------------------- embedding
-def embed_texts(df: DataFrame, text: str, make_model: Callable[[], Callable[[list[str]], np.ndarray]],
-                name: str = "embedding") -> DataFrame:
-    """Add unit vectors from a pluggable model, one model per Python worker, one call per Arrow batch."""
+def _embedder(make_model: Callable[[], Callable[[list[str]], np.ndarray]]):
     holder: dict = {}
 
     @F.pandas_udf("array<float>")
@@ -32,7 +34,41 @@ def embed_texts(df: DataFrame, text: str, make_model: Callable[[], Callable[[lis
         unit = vectors / np.where(norms == 0, 1.0, norms)
         return pd.Series(list(unit.astype(np.float32)))
 
-    return df.withColumn(name, embed(F.col(text)))
+    return embed
+
+
+def embed_texts(df: DataFrame, text: str, make_model: Callable[[], Callable[[list[str]], np.ndarray]],
+                name: str = "embedding") -> DataFrame:
+    """Add unit vectors from a pluggable model, one model per Python worker, one call per Arrow batch."""
+    return df.withColumn(name, _embedder(make_model)(F.col(text)))
+
+
+def hashing_model(dimensions: int = 256) -> Callable[[list[str]], np.ndarray]:
+    """A model without weights: words are hashed to signed dimensions and counted, damped by the square root."""
+    seen: dict[str, tuple[int, float]] = {}
+
+    def place(word: str) -> tuple[int, float]:
+        if word not in seen:
+            if len(seen) > 1 << 18:
+                seen.clear()
+            code = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+            seen[word] = (code >> 1) % dimensions, 1.0 if code & 1 else -1.0
+        return seen[word]
+
+    def embed(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dimensions))
+        for row, text in zip(out, texts):
+            for word, n in Counter(_WORD.findall(text.lower())).items():
+                at, sign = place(word)
+                row[at] += sign * n ** 0.5
+        return out
+
+    return embed
+
+
+def register_embedder(spark: SparkSession, make_model: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_model, name: str = "embed_text") -> None:
+    """Make a model an SQL function from a text to its unit vector."""
+    spark.udf.register(name, _embedder(make_model))
 
 
 def cosine(left: Column, right: Column) -> Column:
@@ -49,7 +85,7 @@ def _cell_scorer(k: int, exclude_same_id: bool):
     def score(cell: pd.DataFrame) -> pd.DataFrame:
         asks = cell[cell["is_query"]]
         rows = cell[~cell["is_query"]]
-        out = []
+        found = []
         if len(asks) and len(rows):
             q = np.stack(asks["vec"].to_numpy()).astype(np.float64)
             c = np.stack(rows["vec"].to_numpy()).astype(np.float64)
@@ -67,14 +103,14 @@ def _cell_scorer(k: int, exclude_same_id: bool):
                 edge = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k]
             else:
                 edge = np.full(len(qids), -np.inf)
-            for i, qid in enumerate(qids):
+            for i in range(len(qids)):
                 near = np.flatnonzero((sims[i] >= edge[i]) & np.isfinite(sims[i]))
                 best = near[np.argsort(-sims[i][near], kind="stable")][:k]
-                out.append(pd.DataFrame({"query_id": qid, "id": ids[best], "score": sims[i][best]}))
-        if not out:
-            return pd.DataFrame({"query_id": asks["id"].iloc[:0], "id": rows["id"].iloc[:0],
-                                 "score": pd.Series([], dtype="float64")})
-        return pd.concat(out, ignore_index=True)
+                found.append((i, best))
+            own = np.repeat([i for i, _ in found], [len(best) for _, best in found]).astype(np.int64)
+            hit = np.concatenate([best for _, best in found])
+            return pd.DataFrame({"query_id": qids[own], "id": ids[hit], "score": sims[own, hit]})
+        return pd.DataFrame({"query_id": asks["id"].iloc[:0], "id": rows["id"].iloc[:0], "score": pd.Series([], dtype="float64")})
 
     return score
 
@@ -144,12 +180,13 @@ def contextualize(query: Column, last_user_turn: Column, entity: str) -> Column:
     return anchor_entity(F.when(useful, F.concat_ws(" ", before, query)).otherwise(query), entity)
 
 
-def expand_by_text(queries: DataFrame, chunks: DataFrame, word: str, limit: int | None = None) -> DataFrame:
-    """Append the slugs of the pages that mention ``word``, or of the first ``limit`` ones, to each query text."""
+def expand_by_text(queries: DataFrame, chunks: DataFrame, word: str, limit: int = 10) -> DataFrame:
+    """Append the slugs of the first ``limit`` pages, in slug order, that mention ``word`` to each query text.
+
+    The limit is the feature: a query is widened by a few names, so what is gathered does not grow with the corpus.
+    """
     slugs = (chunks.filter(F.col("text").contains(word) & F.col("slug").isNotNull())
-             .select(F.replace(F.col("slug"), F.lit("_"), F.lit(" ")).alias("words")).distinct())
-    if limit is not None:
-        slugs = slugs.orderBy("words").limit(limit)
+             .select(F.replace(F.col("slug"), F.lit("_"), F.lit(" ")).alias("words")).distinct().orderBy("words").limit(limit))
     extra = slugs.agg(F.array_join(F.sort_array(F.collect_list("words")), " ").alias("__extra"))
     return (queries.crossJoin(F.broadcast(extra))
             .withColumn("query", F.when(F.col("__extra") == "", F.col("query"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sequences as sq
 from ..functions.order_stats import exact_quantiles
 
 
@@ -112,6 +113,28 @@ def stalled(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("brief_at").isNotNull() & F.col("terminal_at").isNull()).select("session_id").orderBy("session_id")
 
 
+# ---------------------------------------------------------------------- sessions
+def sessions(events: DataFrame, key: str, time: str, gap_seconds: int, sums: dict[str, Column], block_seconds: int = 3600) -> DataFrame:
+    """``(key, session_start, session_end, n, *sums)``: rows of a key at most ``gap_seconds`` apart are one session.
+
+    Rows are merged to sessions inside (key, block of time); only those few are then joined across blocks, by
+    block-wise carries, so a key that holds a third of the rows is spread over its blocks.  Rows without a time are in no session.
+    """
+    timed = events.filter(F.col(time).isNotNull()).withColumns({"__us": F.unix_micros(F.col(time).cast("timestamp")), **{f"__{n}": v for n, v in sums.items()}})
+    timed = timed.withColumn("__part", F.floor(F.col("__us") / (block_seconds * 1_000_000)))
+    inside = Window.partitionBy(key, "__part").orderBy("__us")
+    apart = lambda before: F.when(F.col("__us") - before <= gap_seconds * 1_000_000, 0).otherwise(1)
+    local = timed.withColumn("__fresh", apart(F.lag("__us").over(inside))).withColumn("__local", F.sum("__fresh").over(inside))
+    # Session bounds go on as row times; the last row of one is what the next is measured against.
+    local = local.groupBy(key, "__part", "__local").agg(F.min("__us").alias("__us"), F.max("__us").alias("__end"), F.count(F.lit(1)).alias("n"),
+                                                        *[F.sum(f"__{n}").alias(n) for n in sums])
+    part = F.floor(F.col("__us") / (block_seconds * 64_000_000))
+    chained = sq.last_earlier(local, [key], ["__us"], part, F.col("__end"), "__before").withColumn("__fresh", apart(F.col("__before")))
+    numbered = sq.running_sums(chained, [key], ["__us"], part, {"__session": F.col("__fresh")})
+    merged = numbered.groupBy(key, "__session").agg(F.min("__us").alias("a"), F.max("__end").alias("b"), F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in sums])
+    return merged.select(key, F.timestamp_micros("a").alias("session_start"), F.timestamp_micros("b").alias("session_end"), "n", *sums)
+
+
 # ---------------------------------------------------------------------- lifetime
 def expired(rows: DataFrame, age_seconds: Column, ttl_seconds: float) -> DataFrame:
     """Rows strictly older than the time to live, by an age against a supplied clock."""

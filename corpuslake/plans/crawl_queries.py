@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, crawl, pages, retrieval, telemetry
+from ..operators import chunking, crawl, dialogue, pages, retrieval, telemetry, vector_index
 from ..session import cut_lineage
 
 from .base import query, table
@@ -249,13 +249,28 @@ def chunk_documents(spark, sf_dir):
                     F.sha2("text", 256).alias("digest"))
 
 
+@query("chunk_lateral", f"""
+WITH RECURSIVE {CHUNK_SQL} SELECT id, chunk_index, total_chunks, sha256(text) AS digest FROM idx""")
+def chunk_lateral(spark, sf_dir):
+    """The same chunks, cut by the table function from SQL."""
+    chunking.register_chunk_function(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("chunk_lateral_documents")
+    return spark.sql(r"""
+        SELECT concat(d.doc_id, '#', c.chunk_index) AS id, CAST(c.chunk_index AS BIGINT) AS chunk_index, CAST(c.total_chunks AS BIGINT) AS total_chunks, sha2(c.text, 256) AS digest
+        FROM chunk_lateral_documents d, LATERAL chunk_text(d.text, 800, 150, '\n') c""")
+
+
 def hits(spark, sf_dir):
-    """The eight best chunks (the answer depth) of one query per source and title, scored by digits."""
+    """The eight best chunks (the answer depth) of one query per source and title, scored by digits.
+
+    Only ids and scores are ranked, with the limit before the exchange; the few hits' texts are looked up after.
+    """
     c = chunks(spark, sf_dir).withColumn("query", F.concat_ws("/", "source", "title"))
-    c = c.withColumn("score", F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double"))
+    score = F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id"))
-    c = c.withColumn("pos", (F.row_number().over(best) - 1).cast("long")).filter("pos < 8")
-    return c.select("query", "id", "slug", "url", "title", "text", "score", "chunk_index", "total_chunks", "pos")
+    top = c.select("query", "id", score.alias("score")).withColumn("rank", F.row_number().over(best)).filter("rank <= 8")
+    top = cut_lineage(top.select("query", "id", "score", (F.col("rank") - 1).cast("long").alias("pos")))
+    return top.join(c.drop("query"), "id").select("query", "id", "slug", "url", "title", "text", "score", "chunk_index", "total_chunks", "pos")
 
 
 HIT_SQL = f"""{CHUNK_SQL},
@@ -312,3 +327,19 @@ SELECT query, sha256(string_agg('[Source: ' || CASE WHEN title = '' THEN 'Untitl
 def context_block(spark, sf_dir):
     out = chunking.context_blocks(chunking.merge_adjacent(expanded(spark, sf_dir), ["query"]), ["query"])
     return out.select("query", F.sha2("context", 256).alias("context"))
+
+
+@query("retrieval_chain")
+def retrieval_chain(spark, sf_dir):
+    """Every hundredth conversation's visitor turns, rewritten, embedded, searched in the cell index of all chunks, widened and merged."""
+    turns = dialogue.last_user_turn(table(spark, sf_dir, "conversations").filter("conv_id % 100 = 0")).filter("role = 'user'")
+    asks = turns.select(F.concat_ws("/", "conv_id", "turn").alias("id"), retrieval.contextualize(F.col("text"), F.col("last_user_text"), "Acme").alias("query"))
+    rows = chunks(spark, sf_dir).select("id", "slug", "url", "title", "text", "chunk_index", "total_chunks")
+    # The stored index: each chunk is embedded once.
+    vectors = cut_lineage(retrieval.embed_texts(rows.select("id", "text"), "text", retrieval.hashing_model, "vec").drop("text"))
+    asked = cut_lineage(retrieval.embed_texts(asks, "query", retrieval.hashing_model, "vec").select("id", "vec"))
+    top = cut_lineage(vector_index.topk_by_cells(asked, vectors, vector_index.fit_cells(vectors, 8), 8))
+    found = top.select(F.col("query_id").alias("query"), "id", "score", F.col("rank").cast("long").alias("pos")).join(rows, "id")
+    wide = chunking.expand_neighbours(cut_lineage(found.select("query", "id", "slug", "url", "title", "text", "score", "chunk_index", "total_chunks", "pos")), rows, 1, ["query"])
+    out = chunking.merge_adjacent(wide, ["query"])
+    return out.select("query", "id", "pos", F.round("score", 6).alias("score"), F.sha2("text", 256).alias("digest"))

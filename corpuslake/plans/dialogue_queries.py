@@ -295,13 +295,13 @@ def output_policy(spark, sf_dir):
 
 @query("query_expansion", f"""
 WITH {SHORT_SQL}, x AS (SELECT string_agg(w, ' ' ORDER BY w) AS extra FROM (
-  SELECT DISTINCT replace(source || '_' || lang, '_', ' ') AS w FROM documents WHERE contains(text, 'office') OR contains(text, 'under')))
+  SELECT DISTINCT replace(source || '_' || lang, '_', ' ') AS w FROM documents WHERE contains(text, 'office') OR contains(text, 'under') ORDER BY w LIMIT 10))
 SELECT conv_id, turn, CASE WHEN coalesce(extra, '') = '' THEN text ELSE text || ' ' || extra END AS query FROM s, x""")
 def query_expansion(spark, sf_dir):
     """Visitor messages widened by the pages that mention a word (documents named by source and language)."""
     pages = table(spark, sf_dir, "documents").select(F.concat_ws("_", "source", "lang").alias("slug"), F.regexp_replace("text", "office", "under").alias("text"))
     asks = short_turns(spark, sf_dir).withColumnRenamed("text", "query")
-    return retrieval.expand_by_text(asks, pages, "under").select("conv_id", "turn", "query")
+    return retrieval.expand_by_text(asks, pages, "under", limit=10).select("conv_id", "turn", "query")
 
 
 # -------------------------------------------------------------------- transcripts
@@ -342,3 +342,17 @@ def citation_dedupe(spark, sf_dir):
         F.concat(F.lit(" http://x/"), "role", F.expr("repeat('/', int(turn) % 3)"), F.lit(" ")).alias("url"), F.col("role").alias("title"))
     out = dialogue.dedupe_citations(c)
     return out.select("answer_id", "pos", F.rtrim(F.trim("url"), F.lit("/")).alias("url"))
+
+
+@query("rule_table", r"""
+WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+r AS (SELECT item_id AS place, 'item ' || item_id AS category, ' ' || array_to_string(w[1:3], ' ') || ' ' AS phrase FROM b WHERE len(w) >= 3),
+t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS words FROM documents)
+SELECT t.doc_id, min(place) AS place, arg_min(category, place) AS category FROM t JOIN r ON contains(t.words, r.phrase) GROUP BY t.doc_id""")
+def rule_table(spark, sf_dir):
+    """The first of a table of rules, the opening words of every benchmark item, that each document breaks."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).filter(F.size("w") >= 3)
+    rules = items.select(F.col("item_id").alias("place"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("category"),
+                         F.array_join(F.slice("w", 1, 3), " ").alias("phrase"))
+    return policy.rule_matches(table(spark, sf_dir, "documents"), rules, ident="doc_id")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import evals, policy
+from ..operators import evals, policy, vector_index
 from ..operators.retrieval import exact_topk
 from ..session import cut_lineage
 from .base import query, r6, table
@@ -138,3 +138,26 @@ def grounding_check(spark, sf_dir):
     v = vectors(spark, sf_dir)
     out = policy.grounding_check(v, v, match_on="label", exclude_same_id=True)
     return out.select("id", r6(F.coalesce("similarity", F.lit(0.0))).alias("similarity"), "action")
+
+
+ASK = "id % 100 = 0"
+
+
+@query("cell_recall", f"""
+SELECT count(*) AS queries, CAST(count(*) * least({K}, (SELECT count(*) - 1 FROM embeddings)) AS BIGINT) AS wanted, true AS recall_reached
+FROM embeddings WHERE vec_id % 100 = 0""")
+def cell_recall(spark, sf_dir):
+    """Whether the cell index finds nine of ten exact neighbours, over every hundredth vector against all."""
+    v = vectors(spark, sf_dir)
+    asks = v.filter(ASK)
+    found = vector_index.topk_by_cells(asks, v, vector_index.fit_cells(v, K), K, exclude_same_id=True)
+    row = vector_index.recall_at(found, exact_topk(asks, v, K, exclude_same_id=True))
+    return row.select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("recall_reached"))
+
+
+@query("cell_topk")
+def cell_topk(spark, sf_dir):
+    """The nearest vectors of every hundredth vector, by the cell index (approximate, so without an SQL form)."""
+    v = vectors(spark, sf_dir)
+    return vector_index.topk_by_cells(v.filter(ASK), v, vector_index.fit_cells(v, K), K, exclude_same_id=True).select(
+        "query_id", F.col("id").alias("hit_id"), F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"))

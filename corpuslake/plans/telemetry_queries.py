@@ -136,10 +136,8 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n, round(sum(value), 4) AS total
 FROM s GROUP BY user_id, sid""")
 def session_windows(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n", "total")
+    out = telemetry.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 1800, {"total": F.col("value")})
+    return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n", F.round("total", 4).alias("total"))
 
 
 @query("usage_totals", f"""

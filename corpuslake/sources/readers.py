@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import text as tx
 from . import schemas
+from .file_heads import FileHeads
 
 PRESENT = ("ok", "skipped")
 
@@ -116,9 +117,10 @@ def read_rate_card(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, kind) of a document drop folder; only the leading bytes decide the kind."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", tx.sniff_kind(F.col("content")).alias("kind"))
+    """(path, length, kind) of a document drop folder; only the leading bytes decide the kind, and only they are read."""
+    spark.dataSource.register(FileHeads)
+    files = spark.read.format(FileHeads.name()).load(path)
+    return files.select("path", "length", tx.sniff_kind(F.col("head")).alias("kind"))
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..functions import fixed_values as fv
-from ..operators import crawl
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -151,37 +150,122 @@ def streaks(stream: DataFrame, key: str, cap: int = fv.STREAK_CAP) -> DataFrame:
     return stream.groupBy(key).transformWithStateInPandas(StreakCounter(cap), out, "Append", "None")
 
 
+# ------------------------------------------------------------------------ expiry
+class ExpiryTimer(StatefulProcessor):
+    """Holds a key's uploads until the watermark has passed their time to live, then emits and forgets them.
+
+    A timer per key stands at the earliest time that is still held; when it fires everything due is emitted at once.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.due = handle.getMapState("due", T.StructType([T.StructField("id", T.LongType())]), T.StructType([T.StructField("at", T.LongType())]))
+        self.next = handle.getValueState("next", T.StructType([T.StructField("at", T.LongType())]))
+
+    def _wait_for(self, at: int | None) -> None:
+        if self.next.exists():
+            if self.next.get()[0] == at:
+                return
+            self.handle.deleteTimer(self.next.get()[0])
+            self.next.clear()
+        if at is not None:
+            self.handle.registerTimer(at)
+            self.next.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = self.next.get()[0] if self.next.exists() else None
+        for frame in rows:
+            for ident, ms in zip(frame["id"], frame["ms"]):
+                at = int(ms) + self.ttl_ms + 1  # timers fire at their time; an upload must be older than it
+                self.due.updateValue((int(ident),), (at,))
+                first = at if first is None else min(first, at)
+        self._wait_for(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [(ident[0], at[0]) for ident, at in self.due.iterator()]
+        gone = [ident for ident, at in held if at <= now]
+        for ident in gone:
+            self.due.removeKey((ident,))
+        self.next.clear()  # the timer that fired is gone
+        self._wait_for(min((at for _, at in held if at > now), default=None))
+        yield pd.DataFrame({"id": pd.Series(gone, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def expired_uploads(stream: DataFrame, key: str, ident: str, time: str, ttl_seconds: int, late: str = "0 seconds") -> DataFrame:
+    """Ids of uploads that are strictly older than the time to live by the watermark, each once.
+
+    The clock is the newest row less ``late``; rows without a time never expire.
+    """
+    timed = stream.withColumn("event_time", F.col(time).cast("timestamp")).filter(F.col("event_time").isNotNull()).withWatermark("event_time", late)
+    rows = timed.select(F.col(key).alias("key"), F.col(ident).cast("long").alias("id"), F.unix_millis("event_time").alias("ms"), "event_time")
+    return rows.groupBy("key").transformWithStateInPandas(ExpiryTimer(ttl_seconds * 1000), T.StructType([T.StructField("id", T.LongType())]), "Append", "EventTime")
+
+
 # ---------------------------------------------------------------- index upkeep
+class PageVersions(StatefulProcessor):
+    """Keeps the content hash and version of each page, and passes on the newest row of a page that is new, changed or removed."""
+
+    def __init__(self, version: str, removed: str | None):
+        self.version, self.removed = version, removed
+
+    def init(self, handle) -> None:
+        self.stored = handle.getValueState("stored", T.StructType([T.StructField("hash", T.StringType()), T.StructField("version", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows), ignore_index=True).sort_values([self.version, "content_hash"], kind="stable").iloc[[-1]]
+        hash_, version = frame["content_hash"].iloc[0], int(frame[self.version].iloc[0])
+        before = self.stored.get() if self.stored.exists() else None
+        if before is not None and version < before[1]:
+            return
+        if self.removed and bool(frame[self.removed].iloc[0]):
+            if before is not None and before[0] is not None:
+                yield frame.assign(action="removed")
+            # The version stays, so that an older page that comes late does not return.
+            self.stored.update((None, version))
+            return
+        self.stored.update((hash_, version))
+        if before is None or before[0] != hash_:
+            yield frame.assign(action="added" if before is None or before[0] is None else "updated")
+
+    def close(self) -> None:
+        pass
+
+
+def page_changes(pages: DataFrame, version: str = "version", removed: str | None = None) -> DataFrame:
+    """The pages of a stream that are new, changed or removed against the stored hashes, with an ``action``."""
+    out = T.StructType([*pages.schema.fields, T.StructField("action", T.StringType())])
+    return pages.groupBy("slug").transformWithStateInPandas(PageVersions(version, removed), out, "Append", "None")
+
+
 def maintain_index(pages: DataFrame, root: str, make_chunks: Callable[[DataFrame], DataFrame],
-                   version: str = "version") -> StreamingQuery:
+                   version: str = "version", removed: str | None = None) -> StreamingQuery:
     """Keep a chunk table current from a stream of (slug, content_hash, body, version, ...) pages.
 
-    Of several versions of a page in a batch the one with the largest ``version`` counts.
-
-    A batch compares content hashes with the published ones and appends only the chunks of
-    new and changed pages, so its cost follows the batch and not the table.  Replaying a
-    batch ignores its own earlier output and overwrites it.
+    Of several versions of a page the one with the largest ``version`` counts, late older ones are passed over, and a page whose
+    ``removed`` column is true leaves the index.  Stored hashes are state per slug, so a batch reads the state of its own pages and not
+    the log.  A batch writes what changed to ``root/pages`` and the chunks made from it to ``root/rows``; replaying it overwrites both.
     """
     spark = pages.sparkSession
 
     def change(batch: DataFrame, number: int) -> DataFrame:
-        # One page per slug inside a batch.
-        newest = F.max_by(F.struct(*[c for c in batch.columns if c != "slug"]), F.struct(version, "content_hash"))
-        fresh = batch.groupBy("slug").agg(newest.alias("page")).select("slug", "page.*")
-        if number == 0:
-            changed = fresh
-        else:
-            earlier = read_log(spark, root).filter(F.col("batch") < number)
-            stored = latest_rows(earlier.select("slug", "content_hash", "batch"), ["slug"])
-            diff = crawl.index_diff(fresh, stored).filter(F.col("action").isin("added", "updated"))
-            changed = fresh.join(diff.select("slug"), "slug", "left_semi")
-        return make_chunks(changed)
+        folder = f"{root}/pages/batch={number}"
+        batch.write.mode("overwrite").parquet(folder)
+        changed = spark.read.schema(batch.schema).parquet(folder)
+        return make_chunks(changed.filter("action <> 'removed'").drop("action"))
 
-    return run_to_log(pages, root, change=change)
+    return run_to_log(page_changes(pages, version, removed), root, change=change)
 
 
 def current_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """The chunks of each page's latest version."""
-    log = read_log(spark, root)
-    newest = log.groupBy("slug").agg(F.max("batch").alias("batch"))
-    return log.join(newest, ["slug", "batch"])
+    """The chunks of each page's latest version; removed pages and those that became empty have none."""
+    latest = latest_rows(spark.read.parquet(f"{root}/pages").select("slug", "action", "batch", F.col("batch").alias("of")), ["slug"])
+    kept = latest.filter("action <> 'removed'").select("slug", F.col("of").alias("batch"))
+    return read_log(spark, root).join(kept, ["slug", "batch"])

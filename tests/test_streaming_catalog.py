@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpuslake.plans import load_catalog
-from compare import compare, oracle
+from compare import compare, oracle, pandas_rows
 from corpuslake.operators.chunking import chunk_pages
 from corpuslake.session import checkpoint_dir
 from corpuslake.streaming import jobs
@@ -109,7 +109,7 @@ def test_entry_and_keys(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     own, forms = load_catalog()
     assert set(sql) <= set(queries) and set(own) <= set(queries)
-    assert set(own) - set(forms) == {"keyword_excerpts", "page_extract", "project_phases"}
+    assert set(own) - set(forms) == {"keyword_excerpts", "project_phases", "cell_topk", "retrieval_chain"}
     assert entry.entry(spark).count() == 4
 
 
@@ -119,7 +119,7 @@ def test_catalog_against_sql(spark):
     con, sql, queries = oracle(SMALL), entry.oracle_sql(), entry.queries()
     problems = {}
     for name, text in sql.items():
-        problem = compare(queries[name](spark, SMALL).toPandas(), con.execute(text).df())
+        problem = compare(pandas_rows(queries[name](spark, SMALL)), con.execute(text).df())
         if problem:
             problems[name] = problem[:300]
     assert not problems
