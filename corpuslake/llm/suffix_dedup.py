@@ -117,7 +117,7 @@ def decide(unit: Unit, groups: dict[int, dict[bytes, int]]) -> dict[int, dict[by
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, k: int = 32, id_col: str = "doc_id", text_col: str = "text",
+def suffix_dedup(docs: DataFrame, length: int = 400, k: int = 200, id_col: str = "doc_id", text_col: str = "text",
                  kept_text: bool = True) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
