@@ -42,14 +42,15 @@ def _attribute(name: str) -> Column:
 
 
 def _chrome() -> Column:
+    """Whether a start tag opens chrome; attributes are looked at where a tag has some."""
     classes, ident = _attribute("class"), _attribute("id")
-    found = F.col("tag").isin(*fv.CHROME_TAGS, "title", "template")
-    names = F.split(classes, r"\s+")
+    named = F.arrays_overlap(F.split(classes, r"\s+"), F.array(*[F.lit(c) for c in fv.CHROME_CLASSES]))
     for part in fv.CHROME_CLASS_PARTS:
-        found = found | classes.contains(part)
+        named = named | classes.contains(part)
     for part in fv.CHROME_ID_PARTS:
-        found = found | ident.contains(part)
-    return found | (F.col("markup").contains("class") & F.arrays_overlap(names, F.array(*[F.lit(c) for c in fv.CHROME_CLASSES])))
+        named = named | ident.contains(part)
+    bears = (F.length("markup") > F.length("tag") + 2) & F.lower("markup").rlike(r"[\s\"'](?:class|id)\s*=")
+    return F.col("tag").isin(*fv.CHROME_TAGS, "title", "template") | (bears & named)
 
 
 def _page() -> Window:
@@ -108,7 +109,9 @@ def page_tags(raw: DataFrame, html: str = "html") -> DataFrame:
 def _placed(tags: DataFrame) -> DataFrame:
     """Tags with what lies in chrome or outside the content left out, and where the heading and the title are."""
     start = ~F.col("close")
-    part = start & _chrome()
+    # A column of its own, so that it is looked for once.
+    tags = tags.withColumn("part", start & _chrome())
+    part = F.col("part")
     tags = tags.withColumns({"text_until": F.coalesce(F.max(F.when(part, F.col("end"))).over(_so_far()), F.lit(-1)),
                              "tag_until": F.coalesce(F.max(F.when(part, F.col("end") + _one(F.col("opened") | F.col("void")))).over(_so_far()), F.lit(-1))})
     shown = start & (F.col("tag_until") <= F.col("pos"))
@@ -123,7 +126,7 @@ def _placed(tags: DataFrame) -> DataFrame:
         "show_text": inside & (F.col("pos") < F.col("root.end")) & (F.col("text_until") <= F.col("pos")),
         "show_tag": inside & (F.col("pos") <= F.col("root.end")) & (F.col("tag_until") <= F.col("pos")), "h1": named("h1"), "title": named("title")})
     # Most tags of a page are not of its content; they have served to find it.
-    return placed.drop("root", "text_until", "tag_until").filter(F.col("show_text") | F.col("show_tag") | (F.col("pos") == 0) | F.col("h1").isNotNull() | F.col("title").isNotNull())
+    return placed.drop("root", "text_until", "tag_until", "part").filter(F.col("show_text") | F.col("show_tag") | (F.col("pos") == 0) | F.col("h1").isNotNull() | F.col("title").isNotNull())
 
 
 def _static_marks() -> Column:
