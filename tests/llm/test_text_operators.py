@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ from corpuslake.llm import common as C
 from corpuslake.llm import pii
 from corpuslake.llm.decontamination import decontamination, proximity_matches
 from corpuslake.llm.ngram_join import component_ids, drop_near_duplicates
-from corpuslake.llm.quality_rules import quality_rules
+from corpuslake.llm.quality_rules import drop_low_quality, quality_rules
 
 
 def lowered(text):
@@ -234,3 +235,81 @@ def test_quality_thresholds_follow_language_and_source(spark):
     kept = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(kept[i] for i in range(400)) and not kept[1000] and not kept[1001] and kept[1002]
     assert defaultdict(bool, kept)[0]
+
+
+def plain_verdicts(rows, spread=3.0, prior=50.0):
+    """Ids that the rules keep, computed value by value from ``(id, text, lang, source)``."""
+    ratio, tails = 1.02, (100, 50, 10, 1, 0)
+    facts = {}
+    for i, text, lang, source in rows:
+        w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        counts = Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))
+        covered = {k + j for k in range(len(w) - 4) if counts[tuple(w[k:k + 5])] > 1 for j in range(5)}
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        values = (sum(map(len, w)) / len(w), sum(c in "#*$%&|<>" for c in text) / len(w), (len(lines) - len(set(lines))) / len(lines)) if w else None
+        facts[i] = lang, source, len(w), failed, values
+
+    def ends(bucket):
+        return (0.0, 0.0) if bucket is None else (ratio ** bucket * (1 - 1e-9), ratio ** (bucket + 1) * (1 + 1e-9))
+
+    def fence(values):
+        cells = sorted((None if v == 0 else math.floor(math.log(v) / math.log(ratio)) for v in values), key=lambda b: -math.inf if b is None else b)
+        n = len(cells)
+        up = lambda t: cells[max(0, -(-(1000 - t) * n // 1000) - 1)]
+        middle = cells[-(-500 * n // 1000) - 1]
+        low = next((c for t in tails if (c := cells[min(n - 1, t * n // 1000)]) != middle), middle)
+        high = next((c for t in tails if (c := up(t)) != middle), middle)
+        (a, b), low, high = ends(middle), ends(low)[0], ends(high)[1]
+        return low - spread * (a - low), high + spread * (high - b), n
+
+    kept = set()
+    for i, (lang, source, _, failed, values) in facts.items():
+        if failed:
+            continue
+        ok = True
+        for m in range(3):
+            low, high, n = fence([f[4][m] for f in facts.values() if f[:2] == (lang, source) and f[2] >= 10])
+            all_low, all_high, _ = fence([f[4][m] for f in facts.values() if f[0] == lang and f[2] >= 10])
+            share = n / (n + prior)
+            ok &= values[m] <= share * high + (1 - share) * all_high
+            ok &= m > 0 or values[m] >= share * low + (1 - share) * all_low
+        if ok:
+            kept.add(i)
+    return kept
+
+
+def graded_rows(symbols_in_a):
+    """Three groups of 60 documents: sizes of words differ by source, and a share of the words of source ``a`` bears a symbol."""
+    rnd, rows = random.Random(9), []
+    for i in range(180):
+        source = "abc"[i % 3]
+        words = ["x" * rnd.randrange(2, 6 + i % 3) + str(rnd.randrange(10 ** 5)) for _ in range(40)]
+        if source == "a":
+            words = [w + "#" if rnd.random() < symbols_in_a else w for w in words]
+        rows.append((i, " ".join(words[:20]) + "\n" + " ".join(words[20:]) + ("\nsame line\nsame line" if i % 7 == 0 else ""), "en", source))
+    marked = lambda i: " ".join(f"{w}#" if k % 4 == 0 else w for k, w in enumerate(rows[i][1].split()))
+    rows += [(1000, marked(2), "en", "c"), (1001, marked(3).replace("##", "#"), "en", "a"), (1002, "long" * 300 + rows[4][1], "en", "b"),
+             (1003, None, "en", None), (1004, rows[1][1], None, "a"), (1005, "one two", "de", "b"), (1006, rows[1][1], "en", "b"), (1007, "", None, None)]
+    return rows
+
+
+def test_quality_verdicts_match_plain_version_and_move_with_a_group(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    kept = {}
+    for share in (0.02, 0.3):
+        rows = graded_rows(share)
+        kept[share] = {r["doc_id"] for r in quality_rules(spark.createDataFrame(rows, schema)).filter("kept").collect()}
+        assert kept[share] == plain_verdicts(rows)
+        assert sum(i in kept[share] for i in range(180)) >= 160
+    assert 1001 in kept[0.3] and 1001 not in kept[0.02]
+    assert 1002 not in kept[0.02] and 1004 in kept[0.02]
+
+
+def test_low_quality_rows_leave_with_their_own_columns(spark):
+    rows = [(*r, -1, "mine") for r in graded_rows(0.1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words long, kept string")
+    out = drop_low_quality(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert {r["doc_id"] for r in got} == plain_verdicts([r[:4] for r in rows]) and {(r["n_words"], r["kept"]) for r in got} == {(-1, "mine")}
