@@ -14,12 +14,12 @@ from corpuslake.llm.decontamination import decontamination
 from corpuslake.llm.harmonic_packing import harmonic_packing
 from corpuslake.llm.ngram_join import drop_near_duplicates
 from corpuslake.llm.pii import redact_pii
-from corpuslake.llm.quality_rules import quality_rules
+from corpuslake.llm.quality_rules import drop_low_quality
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the adaptive thresholds keep."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    return drop_low_quality(docs)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
