@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.session import apply_settings
+from corpuslake.session import apply_settings, checkpoint_dir
 
 #: An odd multiplier and its inverse modulo 2**64, for polynomial hashes that can be cut out of a running sum.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -24,6 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder.
+
+    The size of the files is what the optimizer goes by; a checkpoint hands on the estimate of the plan it cuts, which
+    squares from join to join, and a loop soon spends its time on multiplying such numbers.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/stored-{uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, did, dn, text)``: ``(did, dn)`` identifies a row by content and is never null.
 

@@ -6,7 +6,8 @@ wholly on at least one part, and the hash of a part's elements is a signature.
 set with more empty parts than that also signs with its prefix (its smallest elements), so no link is lost.
 
 Equal sets are one from the start.  Sets sharing a signature are first compared with the group's smallest member
-only; what is linked becomes one component, and only members of different components are compared further.
+only; what is linked becomes one component, and only members of different components are compared further: each
+round names forests of likely pairs, never all of them, and exact set comparison decides which are links.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.session import cut_lineage
-
 from . import common as C
 from .decontamination import bit_filter
 
@@ -34,7 +33,9 @@ _SEEN = 500_000
 
 _MEMBER = pa.schema([("did", pa.int64()), ("dn", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary())])
 _GROUP = pa.schema([("gid", pa.int64()), ("sid", pa.int64()), ("rep", pa.int64())])
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_FOUND = pa.schema([("gid", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+#: Sets of a group that one task compares; a larger group is cut into blocks of about as many.
+_BLOCK = 8192
 
 
 @cache
@@ -251,9 +252,48 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
-def _across(block: int = 1024):
-    """Pairs of different components within a group that may be linked; groups arrive sorted by ``gid`` and size."""
-    def pairs(n, comp, sid, sketch):
+class _Forests:
+    """Edge-disjoint spanning forests over components, grown by all units of a task: of ``m`` components at most
+    ``count * (m - 1)`` edges are chosen, whatever the number of pairs."""
+
+    def __init__(self, count: int):
+        self.above: list[dict[int, int]] = [{} for _ in range(count)]
+
+    @staticmethod
+    def _root(above: dict[int, int], node: int) -> int:
+        root = node
+        while (up := above.get(root, root)) != root:
+            root = up
+        while node != root:
+            above[node], node = root, above.get(node, root)
+        return root
+
+    def choose(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, bool]:
+        """The edges ``(x[i], y[i])`` that a forest takes in, and whether others are left."""
+        left, taken = np.arange(len(x)), []
+        for above in self.above:
+            if len(above) > _SEEN:
+                above.clear()
+            names, at = np.unique(np.concatenate([x[left], y[left]]), return_inverse=True)
+            roots = np.array([self._root(above, c) for c in names.tolist()], np.int64)[at].reshape(2, -1)
+            _, first = np.unique(roots, axis=1, return_index=True)
+            new = []
+            for i in np.sort(first[roots[0, first] != roots[1, first]]).tolist():
+                p, q = self._root(above, int(roots[0, i])), self._root(above, int(roots[1, i]))
+                if p != q:
+                    above[max(p, q)] = min(p, q)
+                    new.append(i)
+            taken.append(left[new])
+            left = np.delete(left, new)
+            if not len(left):
+                break
+        return np.concatenate(taken), len(left) > 0
+
+
+def _across(count: int, block: int = 1024, step: int = 1 << 14):
+    """Likely pairs of different components within a unit, as ``count`` forests a task; a row without a pair names a
+    group with more.  Units ``(gid, low, high)`` arrive whole, sorted by size within."""
+    def likely(n, comp, sketch):
         for i in range(0, len(n), block):
             x = slice(i, i + block)
             for k in range(i, len(n), block):
@@ -263,63 +303,90 @@ def _across(block: int = 1024):
                 a, b = np.nonzero((comp[x, None] != comp[None, y]) & (4 * n[None, y] <= 5 * n[x, None]) & (4 * n[x, None] <= 5 * n[None, y]))
                 for c in range(0, len(a), 1 << 18):
                     p, q = a[c:c + (1 << 18)] + i, b[c:c + (1 << 18)] + k
-                    ok = (p < q) & _may_link(n[p], n[q], sketch[p], sketch[q])
-                    if ok.any():
-                        p, q = sid[p[ok]], sid[q[ok]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=_PAIR)
+                    ok = np.flatnonzero(p < q)
+                    ok = ok[_may_link(n[p[ok]], n[q[ok]], sketch[p[ok]], sketch[q[ok]])]
+                    for d in range(0, len(ok), step):
+                        yield p[ok[d:d + step]], q[ok[d:d + step]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
-        told: set[tuple[int, int]] = set()  # families share many groups: a task tells a pair once
+        forests = _Forests(count)
 
         def flush():
             t = pa.Table.from_batches(held)
-            for found in pairs(*(t.column(c).to_numpy() for c in ("n", "comp", "sid")), _bytes_matrix(t.column("sketch"))):
-                new = [p not in told for p in zip(found.column("a").to_pylist(), found.column("b").to_pylist())]
-                found = found.filter(pa.array(new))
-                if len(told) > _SEEN:
-                    told.clear()
-                told.update(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
-                if found.num_rows:
-                    yield found
+            n, comp, sid = (t.column(c).to_numpy() for c in ("n", "comp", "sid"))
+            more = False
+            for p, q in likely(n, comp, _bytes_matrix(t.column("sketch"))):
+                some, left = forests.choose(comp[p], comp[q])
+                more |= left
+                if len(some):
+                    p, q = sid[p[some]], sid[q[some]]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=_FOUND)
+            if more:
+                yield pa.RecordBatch.from_pylist([{"gid": last[0], "a": None, "b": None}], schema=_FOUND)
 
         for batch in batches:
-            gid = batch.column("gid").to_numpy()
-            cut = [0, *(np.flatnonzero(gid[1:] != gid[:-1]) + 1).tolist(), len(gid)]
+            unit = np.stack([batch.column(c).to_numpy() for c in ("gid", "low", "high")])
+            cut = [0, *(np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1).tolist(), unit.shape[1]]
             for a, b in zip(cut, cut[1:]):
                 if b > a:
-                    if held and gid[a] != last:
+                    if held and tuple(unit[:, a].tolist()) != last:
                         yield from flush()
                         held = []
                     held.append(batch.slice(a, b - a))
-                    last = gid[a]
+                    last = tuple(unit[:, a].tolist())
         if held:
             yield from flush()
     return run
 
 
+def _units(open_: DataFrame, block: int, alone: bool) -> DataFrame:
+    """Rows of open groups (``sets`` in all) by unit: a group of up to ``block`` sets is one, a larger one is cut into
+    blocks, and a unit is a block by itself (``alone``) or a pair of blocks."""
+    parts = F.ceil(F.col("sets") / block).cast("long")
+    own = open_.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    other = F.array("own") if alone else F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    return own.withColumn("other", F.explode(other)).select(
+        "gid", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "sid", "comp", "sketch")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, comp)`` of every node of ``edges (a, b)``: the smallest node reachable.
 
-    Every round takes the smallest label next to a node and then the label of that label, from checkpoint to checkpoint.
+    Every round takes the smallest label next to a node and then the label of that label, from one written table to the next.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = C.stored(edges.select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct())
+    labels = C.stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("comp").alias("beyond"))
-        following = cut_lineage(step.join(jump, "least").select("node", F.least("least", "beyond").alias("comp"), (F.col("comp") != F.least("least", "beyond")).alias("moved")))
+        following = C.stored(step.join(jump, "least").select("node", F.least("least", "beyond").alias("comp"), (F.col("comp") != F.least("least", "beyond")).alias("moved")))
         labels = following.select("node", "comp")
         if not following.filter("moved").limit(1).count():
             return labels
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose sets ``(sid, comp)`` lie in different components."""
+    return (pairs.join(comp.select(F.col("sid").alias("a"), F.col("comp").alias("x")), "a")
+            .join(comp.select(F.col("sid").alias("b"), F.col("comp").alias("y")), "b").filter("x != y").select("a", "b"))
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``(sid, comp)`` after new links: only the components they touch are connected anew."""
+    named = links.join(comp.select(F.col("sid").alias("a"), F.col("comp").alias("x")), "a").join(
+        comp.select(F.col("sid").alias("b"), F.col("comp").alias("y")), "b")
+    least = components(named.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("comp", "least")
+    return C.stored(comp.join(least, F.col("comp") == F.col("node"), "left").select("sid", F.coalesce("least", "comp").alias("comp")))
+
+
 def _verified(rows: DataFrame, n: int, pairs: DataFrame, brief: DataFrame) -> DataFrame:
     """The linked pairs among ``(a, b)``: sketches rule most others out, and the sets of the rest are made again from the texts."""
     side = lambda c: brief.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"))
-    likely = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long"))
+    likely = C.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long"))
     asked = likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = bit_filter(asked.join(brief, "sid"), "key")
     sets = rows.mapInArrow(_sets_of(n, wanted), "sid long, set binary")
@@ -329,52 +396,55 @@ def _verified(rows: DataFrame, n: int, pairs: DataFrame, brief: DataFrame) -> Da
     return full.mapInArrow(_linked, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = _BLOCK) -> DataFrame:
     """``(did, dn, n_shingles, component)`` per distinct document key of ``common.keyed``; documents of one component
     are connected by links of ``100 * intersection >= 80 * union`` between their sets of ``n``-word shingles.
 
     Defined cases: null or empty texts have empty sets, link with nothing, and have a null ``component``; a text of
     fewer words is one shingle; repeated rows and equal texts are one component; an empty table gives no rows.
+    ``block`` bounds the sets of a group that one task holds; it does not change the result.
     """
     rows = C.keyed(docs, id_col, text_col)
-    members = cut_lineage(rows.mapInArrow(_members(n), "did long, dn long, n long, sid long, key long, sketch binary").dropDuplicates(["did", "dn"]))
+    members = C.stored(rows.mapInArrow(_members(n), "did long, dn long, n long, sid long, key long, sketch binary").dropDuplicates(["did", "dn"]))
     signed = rows.mapInArrow(_signatures(n), "sig long, sid long")
-    groups = cut_lineage(signed.repartition("sig").mapInArrow(_groups, "gid long, sid long, rep long").dropDuplicates(["gid", "sid"]))
+    groups = C.stored(signed.repartition("sig").mapInArrow(_groups, "gid long, sid long, rep long").dropDuplicates(["gid", "sid"]))
     # One row per set that shares a signature; the row of the smallest key stands for its copies.
     chosen = F.min_by(F.struct("n", "sketch"), "key")
-    brief = cut_lineage(members.join(groups.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
+    brief = C.stored(members.join(groups.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
         F.min("key").alias("key"), chosen.alias("s")).select("sid", "key", "s.n", "s.sketch"))
     # First every set with the smallest one it shares a signature with, then groups' smallest across components, then the rest.
     stars = groups.filter("sid != rep").groupBy("sid", "rep").agg(F.count(F.lit(1)).alias("n"))
     nearest = stars.groupBy(F.col("sid").alias("b")).agg(F.min("rep").alias("a")).select("a", "b")
-    links = cut_lineage(_verified(rows, n, nearest, brief))
-    tested = nearest
-
-    def placed() -> DataFrame:
-        comp = components(links).withColumnRenamed("node", "sid")
-        return groups.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-
-    now = placed()
-    of = now.select("sid", "comp").distinct()
-    crossing = (stars.select(F.col("rep").alias("a"), F.col("sid").alias("b"))
-                .join(of.select(F.col("sid").alias("a"), F.col("comp").alias("x")), "a")
-                .join(of.select(F.col("sid").alias("b"), F.col("comp").alias("y")), "b").filter("x != y").select("a", "b"))
-    crossing = cut_lineage(crossing.join(tested, ["a", "b"], "left_anti"))
-    links = cut_lineage(links.union(_verified(rows, n, crossing, brief)))
-    tested = tested.union(crossing)
-    now = placed()
-    mixed = now.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("gid")
-    open_ = now.join(mixed, "gid", "left_semi").join(brief, "sid").select("gid", "n", "sid", "comp", "sketch")
-    across = open_.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_across(), "a long, b long").distinct()
-    links = links.union(_verified(rows, n, across.join(tested, ["a", "b"], "left_anti"), brief))
-    final = components(links)
-    return members.join(final.withColumnRenamed("node", "sid"), "sid", "left").select(
+    comp = merged(brief.select("sid", F.col("sid").alias("comp")), _verified(rows, n, nearest, brief))
+    crossing = C.stored(_apart(stars.select(F.col("rep").alias("a"), F.col("sid").alias("b")), comp).join(nearest, ["a", "b"], "left_anti"))
+    comp = merged(comp, _verified(rows, n, crossing, brief))
+    tested = nearest.union(crossing)
+    # Each round asks for forests of likely pairs only; groups with more come again, with four times the forests.
+    asked, count = groups.select("gid", "sid"), 1
+    while True:
+        now = asked.join(comp, "sid")
+        mixed = now.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("sets")).filter("x != y").select("gid", "sets")
+        mixed = C.stored(mixed)
+        open_ = now.join(mixed, "gid").join(brief.select("sid", "n", "sketch"), "sid")
+        units = _units(open_, block, count == 1).repartition("gid", "low", "high").sortWithinPartitions("gid", "low", "high", "n", "sid")
+        found = C.stored(units.mapInArrow(_across(count), "gid long, a long, b long").distinct())
+        fresh = C.stored(_apart(found.filter("gid IS NULL").select("a", "b"), comp).join(tested, ["a", "b"], "left_anti"))
+        if fresh.limit(1).count():
+            comp = merged(comp, _verified(rows, n, fresh, brief))
+        more = found.filter("gid IS NOT NULL").select("gid")
+        if count == 1:
+            more = more.union(mixed.filter(F.col("sets") > block).select("gid")).distinct()
+        if not more.limit(1).count():
+            break
+        asked = C.stored(asked.join(more, "gid", "left_semi"))
+        tested, count = tested.union(fresh), 4 * count
+    return members.join(comp, "sid", "left").select(
         "did", "dn", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("component"))
 
 
 def component_ids(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles`` and ``component_id``, the smallest id of its component (its own if alone)."""
-    found = cut_lineage(near_duplicates(docs, n, id_col, text_col))
+    found = C.stored(near_duplicates(docs, n, id_col, text_col))
     ids = C.keyed(docs, id_col, text_col).select(id_col, "did", "dn")
     named = ids.join(found, ["did", "dn"])
     least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min(id_col).alias("least"))
@@ -383,7 +453,7 @@ def component_ids(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one of the smallest id; documents without words all stay."""
-    found = cut_lineage(near_duplicates(docs, n, id_col, text_col))
+    found = C.stored(near_duplicates(docs, n, id_col, text_col))
     best = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("did", "dn")).alias("k")).select("k.did", "k.dn")
     stay = best.union(found.filter("component IS NULL").select("did", "dn"))
     kept = C.with_keys(docs, id_col, text_col).join(stay.select(F.col("did").alias("__did"), F.col("dn").alias("__dn")), ["__did", "__dn"], "left_semi")

@@ -5,12 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from corpuslake.llm import common as C
-from corpuslake.llm import pii
+from corpuslake.llm import ngram_join, pii
 from corpuslake.llm.decontamination import decontamination, proximity_matches
-from corpuslake.llm.ngram_join import component_ids, drop_near_duplicates
+from corpuslake.llm.ngram_join import component_ids, drop_near_duplicates, near_duplicates
 from corpuslake.llm.quality_rules import drop_low_quality, quality_rules
 
 
@@ -195,6 +196,40 @@ def near_rows():
     return rows + [(400, None)]
 
 
+def test_large_groups_in_blocks_match_plain_version(spark):
+    """Near copies of one text in chains, many alike only by a shared passage, with groups far above a block."""
+    rnd, rows = random.Random(8), []
+    base, passage = [f"b{i}" for i in range(40)], " ".join(f"p{i}" for i in range(6))
+    for i in range(120):
+        w = list(base) if i % 2 else rnd.choice(rows[1::2])[1].split() if len(rows) > 1 else list(base)
+        w[rnd.randrange(len(w))] = f"x{rnd.randrange(6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, f"{passage} y{i % 40} z{i}") for i in range(120, 200)]
+    _, roots = plain_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {frozenset(i for i, r in enumerate(roots) if r == root) for root in set(roots)}
+    found = defaultdict(set)
+    for r in near_duplicates(docs, block=16).collect():
+        found[r["component"]].add(r["did"])
+    assert set(map(frozenset, found.values())) == want
+
+
+@pytest.mark.parametrize("count", [1, 2, 400])
+def test_a_group_names_forests_of_pairs(count):
+    """All 300 sets of a group are likely pairs: rows out grow with the sets, and enough forests name every pair."""
+    m = 300
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * m), pa.array([0] * m), pa.array([0] * m), pa.array([900] * m), pa.array(range(m)), pa.array(range(m)),
+                                       pa.array([bytes(128)] * m)], ["gid", "low", "high", "n", "sid", "comp", "sketch"])
+    out = pa.Table.from_batches(ngram_join._across(count)(iter([rows.slice(0, 100), rows.slice(100)]))).to_pylist()
+    pairs = {(r["a"], r["b"]) for r in out if r["gid"] is None}
+    assert len(pairs) == (m * (m - 1) // 2 if count == 400 else len([r for r in out if r["gid"] is None])) <= count * (m - 1)
+    assert [r["gid"] for r in out if r["gid"] is not None] == ([] if count == 400 else [7])
+    near = {0}
+    while more := {x for p in pairs if near & set(p) for x in p} - near:
+        near |= more
+    assert len(near) == m
+
+
 def test_components_match_plain_version(spark, odd_docs, odd_rows, no_docs):
     rows = near_rows()
     sizes, roots = plain_components(rows)
