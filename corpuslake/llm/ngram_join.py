@@ -6,8 +6,9 @@ wholly on at least one part, and the hash of a part's elements is a signature.
 set with more empty parts than that also signs with its prefix (its smallest elements), so no link is lost.
 
 Equal sets are one from the start.  Sets sharing a signature are first compared with the group's smallest member
-only; what is linked becomes one component, and only members of different components are compared further: each
-round names forests of likely pairs, never all of them, and exact set comparison decides which are links.
+only; what is linked becomes one component, and only members of different components are compared further: two
+rounds name spanning forests of likely pairs, and a last one the likely pairs still apart.  Exact set comparison decides
+which are links.
 """
 
 from __future__ import annotations
@@ -290,9 +291,9 @@ class _Forests:
         return np.concatenate(taken), len(left) > 0
 
 
-def _across(count: int, block: int = 1024, step: int = 1 << 14):
-    """Likely pairs of different components within a unit, as ``count`` forests a task; a row without a pair names a
-    group with more.  Units ``(gid, low, high)`` arrive whole, sorted by size within."""
+def _across(count: int | None, block: int = 1024, step: int = 1 << 14):
+    """Likely pairs of different components within a unit, as ``count`` forests a task (None: every one); a row without a
+    pair names a group with more.  Units ``(gid, low, high)`` arrive whole, sorted by size within."""
     def likely(n, comp, sketch):
         for i in range(0, len(n), block):
             x = slice(i, i + block)
@@ -311,18 +312,26 @@ def _across(count: int, block: int = 1024, step: int = 1 << 14):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
-        forests = _Forests(count)
+        forests = _Forests(count or 0)
+        told: set[tuple[int, int]] = set()  # families share many groups: a task tells a pair once
 
         def flush():
             t = pa.Table.from_batches(held)
             n, comp, sid = (t.column(c).to_numpy() for c in ("n", "comp", "sid"))
             more = False
             for p, q in likely(n, comp, _bytes_matrix(t.column("sketch"))):
-                some, left = forests.choose(comp[p], comp[q])
-                more |= left
+                low, high = np.minimum(sid[p], sid[q]), np.maximum(sid[p], sid[q])
+                if count:
+                    some, left = forests.choose(comp[p], comp[q])
+                    more |= left
+                else:
+                    names = list(zip(low.tolist(), high.tolist()))
+                    some = np.array([i for i, name in enumerate(names) if name not in told], np.int64)
+                    if len(told) > _SEEN:
+                        told.clear()
+                    told.update(names)
                 if len(some):
-                    p, q = sid[p[some]], sid[q[some]]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=_FOUND)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(low[some]), pa.array(high[some])], schema=_FOUND)
             if more:
                 yield pa.RecordBatch.from_pylist([{"gid": last[0], "a": None, "b": None}], schema=_FOUND)
 
@@ -419,14 +428,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
     crossing = C.stored(_apart(stars.select(F.col("rep").alias("a"), F.col("sid").alias("b")), comp).join(nearest, ["a", "b"], "left_anti"))
     comp = merged(comp, _verified(rows, n, crossing, brief))
     tested = nearest.union(crossing)
-    # Each round asks for forests of likely pairs only; groups with more come again, with four times the forests.
-    asked, count = groups.select("gid", "sid"), 1
-    while True:
+    # One forest of likely pairs first, then four; what still lies apart after that is seldom linked, and is tested whole.
+    asked = groups.select("gid", "sid")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for count in (1, 4, None):
         now = asked.join(comp, "sid")
         mixed = now.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("sets")).filter("x != y").select("gid", "sets")
         mixed = C.stored(mixed)
         open_ = now.join(mixed, "gid").join(brief.select("sid", "n", "sketch"), "sid")
-        units = _units(open_, block, count == 1).repartition("gid", "low", "high").sortWithinPartitions("gid", "low", "high", "n", "sid")
+        units = _units(open_, block, count == 1).repartition(tasks, "gid", "low", "high").sortWithinPartitions("gid", "low", "high", "n", "sid")
         found = C.stored(units.mapInArrow(_across(count), "gid long, a long, b long").distinct())
         fresh = C.stored(_apart(found.filter("gid IS NULL").select("a", "b"), comp).join(tested, ["a", "b"], "left_anti"))
         if fresh.limit(1).count():
@@ -434,10 +444,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
         more = found.filter("gid IS NOT NULL").select("gid")
         if count == 1:
             more = more.union(mixed.filter(F.col("sets") > block).select("gid")).distinct()
-        if not more.limit(1).count():
+        asked, tested = C.stored(asked.join(more, "gid", "left_semi")), tested.union(fresh)
+        if not asked.limit(1).count():
             break
-        asked = C.stored(asked.join(more, "gid", "left_semi"))
-        tested, count = tested.union(fresh), 4 * count
     return members.join(comp, "sid", "left").select(
         "did", "dn", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("component"))
 
