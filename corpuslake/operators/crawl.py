@@ -23,10 +23,10 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return picked.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
-def filter_refs(refs: DataFrame, host: str, skip: str = "/wp-content/") -> DataFrame:
-    """Sitemap references of one host without uploads, the first of each url."""
+def filter_refs(refs: DataFrame, host: str, skip: str = "/wp-content/", every: bool = False) -> DataFrame:
+    """Sitemap references of one host without uploads, the first of each url or, with ``every``, all of them."""
     wanted = refs.filter(F.col("url").contains(host) & ~F.col("url").contains(skip))
-    return keep_first(wanted, ["url"], ["pos"])
+    return wanted if every else keep_first(wanted, ["url"], ["pos"])
 
 
 def union_sitemaps(parts: list[DataFrame], host: str) -> DataFrame:

@@ -1,8 +1,11 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from compare import compare, pandas_rows
 from corpuslake.operators import crawl
 from corpuslake.operators.pages import extract_pages
 from corpuslake.sources import readers, schemas, writers
@@ -243,3 +246,15 @@ def test_pointer_is_replaced_in_one_step(spark, tmp_path):
     second = writers.publish_version(spark.range(2), root, "json")
     assert first != second and (tmp_path / "p" / "CURRENT").read_text() == second
     assert not (tmp_path / "p" / "CURRENT.tmp").exists()
+
+
+@pytest.mark.parametrize("name", ["crawl_plan", "crawl_plan_limited", "crawl_sets", "manifest_union", "run_report"])
+def test_urls_listed_more_than_once(spark, tmp_path, name):
+    """Every listing of a url is a row of the plan, as in the SQL form, and counts towards the limit."""
+    rows = [(i, f"https://a.example.com/p{i % 9}{'?q=1' if i % 3 == 0 else ''}", "x" * (1490 + 7 * i)) for i in range(40)]
+    rows += [(40 + i, f"http://a.example.com/q{i % 4}", "y" * i) for i in range(9)] + [(60 + i, "https://b.example.net/same", "z" * (i + 1)) for i in range(3)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = pandas_rows(entry.queries()[name](spark, str(tmp_path)))
+    assert compare(got, con.execute(entry.oracle_sql()[name]).df()) is None
