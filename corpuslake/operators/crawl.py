@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -47,14 +47,18 @@ def recrawl_condition(force: bool = False) -> Column:
 
 
 def crawl_plan(refs: DataFrame, previous: DataFrame, force: bool = False, limit: int | None = None) -> DataFrame:
-    """References with a ``recrawl`` flag; with ``limit`` only the first selected ones keep it."""
+    """References with a ``recrawl`` flag; with ``limit`` only the first selected ones keep it.
+
+    A url that is listed or was stored more than once gives a row per pair, and each row counts towards the limit.
+    """
     prior = previous.select("url", F.col("status").alias("prev_status"),
                             F.col("lastmod").alias("prev_lastmod"), F.lit(True).alias("prev_seen"))
     plan = refs.join(prior, "url", "left").withColumn("recrawl", recrawl_condition(force))
     if limit is not None:
-        chosen = plan.filter("recrawl").orderBy("pos").limit(limit).select("url", F.lit(True).alias("__chosen"))
-        plan = (plan.join(chosen, "url", "left")
-                .withColumn("recrawl", F.coalesce("__chosen", F.lit(False))).drop("__chosen"))
+        chosen = plan.filter("recrawl").orderBy("pos", "url").limit(limit).groupBy("url", "pos").agg(F.count(F.lit(1)).alias("__chosen"))
+        among = Window.partitionBy("url", "pos", "recrawl").orderBy("prev_status", "prev_lastmod")
+        plan = (plan.join(chosen, ["url", "pos"], "left").withColumn("__n", F.row_number().over(among))
+                .withColumn("recrawl", F.col("recrawl") & F.coalesce(F.col("__n") <= F.col("__chosen"), F.lit(False))).drop("__chosen", "__n"))
     return plan.drop("prev_seen")
 
 
