@@ -295,13 +295,13 @@ def output_policy(spark, sf_dir):
 
 @query("query_expansion", f"""
 WITH {SHORT_SQL}, x AS (SELECT string_agg(w, ' ' ORDER BY w) AS extra FROM (
-  SELECT DISTINCT replace(source || '_' || lang, '_', ' ') AS w FROM documents WHERE contains(text, 'office') OR contains(text, 'under') ORDER BY w LIMIT 10))
+  SELECT DISTINCT replace(source || '_' || lang, '_', ' ') AS w FROM documents WHERE contains(text, 'office') OR contains(text, 'under')))
 SELECT conv_id, turn, CASE WHEN coalesce(extra, '') = '' THEN text ELSE text || ' ' || extra END AS query FROM s, x""")
 def query_expansion(spark, sf_dir):
     """Visitor messages widened by the pages that mention a word (documents named by source and language)."""
-    pages = table(spark, sf_dir, "documents").select(F.concat_ws("_", "source", "lang").alias("slug"), F.regexp_replace("text", "office", "under").alias("text"))
+    pages = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("_"), "lang").alias("slug"), F.regexp_replace("text", "office", "under").alias("text"))
     asks = short_turns(spark, sf_dir).withColumnRenamed("text", "query")
-    return retrieval.expand_by_text(asks, pages, "under", limit=10).select("conv_id", "turn", "query")
+    return retrieval.expand_by_text(asks, pages, "under").select("conv_id", "turn", "query")
 
 
 # -------------------------------------------------------------------- transcripts
