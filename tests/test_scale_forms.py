@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,14 @@ def test_cells_find_the_neighbours(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_probed_cells_come_in_bounded_frames():
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"id": np.arange(300), "vec": list(rng.normal(size=(300, 4)).astype(np.float32))})
+    parts = list(vector_index._near(frame, rng.normal(size=(900, 4)), 600))
+    assert max(map(len, parts)) <= vector_index._FRAME_ROWS
+    assert pd.concat(parts).groupby("id")["cell"].nunique().tolist() == [600] * 300
+
+
 def test_cells_of_few_or_no_vectors(spark):
     v = vector_rows(spark, 3, hot=0)
     assert vector_index.topk_by_cells(v, v, vector_index.fit_cells(v), 5).count() == 9
