@@ -162,7 +162,8 @@ class ExpiryTimer(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.due = handle.getMapState("due", T.StructType([T.StructField("id", T.LongType())]), T.StructType([T.StructField("at", T.LongType())]))
+        # A list takes a frame of uploads in one call; a map would take one call an upload.
+        self.due = handle.getListState("due", T.StructType([T.StructField("id", T.LongType()), T.StructField("at", T.LongType())]))
         self.next = handle.getValueState("next", T.StructType([T.StructField("at", T.LongType())]))
 
     def _wait_for(self, at: int | None) -> None:
@@ -178,21 +179,23 @@ class ExpiryTimer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         first = self.next.get()[0] if self.next.exists() else None
         for frame in rows:
-            for ident, ms in zip(frame["id"], frame["ms"]):
-                at = int(ms) + self.ttl_ms + 1  # timers fire at their time; an upload must be older than it
-                self.due.updateValue((int(ident),), (at,))
-                first = at if first is None else min(first, at)
+            at = (frame["ms"].astype("int64") + self.ttl_ms + 1).tolist()  # timers fire at their time; an upload must be older than it
+            self.due.appendList(list(zip(frame["id"].tolist(), at)))
+            first = min(at) if first is None else min(first, min(at))
         self._wait_for(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        held = [(ident[0], at[0]) for ident, at in self.due.iterator()]
-        gone = [ident for ident, at in held if at <= now]
-        for ident in gone:
-            self.due.removeKey((ident,))
+        held = {row[0]: row[1] for row in self.due.get()}  # of an upload that came again, the last time
+        gone = [ident for ident, at in held.items() if at <= now]
+        left = [(ident, at) for ident, at in held.items() if at > now]
+        if left:
+            self.due.put(left)
+        else:
+            self.due.clear()
         self.next.clear()  # the timer that fired is gone
-        self._wait_for(min((at for _, at in held if at > now), default=None))
+        self._wait_for(min((at for _, at in left), default=None))
         yield pd.DataFrame({"id": pd.Series(gone, dtype="int64")})
 
     def close(self) -> None:

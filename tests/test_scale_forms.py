@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from unittest import mock
 
 import numpy as np
 import pandas as pd
@@ -165,6 +166,23 @@ def test_timers_emit_each_expired_upload_once(spark, tmp_path, rocksdb):
     assert seen == [[], [1, 2], [1, 2]]
 
 
+def test_timers_call_the_state_once_a_frame():
+    """A frame of uploads is one call to the state, not one an upload, and what is not due stays."""
+    handle = mock.MagicMock()
+    for state in (handle.getListState.return_value, handle.getMapState.return_value, handle.getValueState.return_value):
+        state.exists.return_value = False
+    timer = jobs.ExpiryTimer(1000)
+    timer.init(handle)
+    list(timer.handleInputRows(("u",), iter([pd.DataFrame({"id": range(500), "ms": range(500)})]), None))
+    due = handle.getListState.return_value
+    assert len(due.mock_calls) + len(handle.getMapState.return_value.mock_calls) <= 2
+    due.get.return_value = iter([(i, i + 1001) for i in range(500)])
+    clock = mock.Mock(**{"getCurrentWatermarkInMs.return_value": 1200})
+    assert pd.concat(timer.handleExpiredTimer(("u",), clock, None))["id"].tolist() == list(range(200))
+    due.put.assert_called_once_with([(i, i + 1001) for i in range(200, 500)])
+    handle.registerTimer.assert_called_with(1201)
+
+
 def test_index_follows_removals_and_late_versions(spark, tmp_path, rocksdb):
     schema, data, root = "slug string, content_hash string, body string, version int, gone boolean", tmp_path / "in", str(tmp_path / "out")
     batches = ([("a", "1", "one", 1, False), ("b", "1", "two", 1, False), ("c", "1", "three", 1, False), ("d", "9", "kept", 1, False)],
