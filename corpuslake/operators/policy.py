@@ -103,19 +103,17 @@ def rule_matches(texts: DataFrame, rules: DataFrame, text: str = "text", ident:
 
     ``rules`` has ``(place, category, phrase)``.  A phrase and a text are lists of lower-case words; every place of a text meets, in an equi-join on
     the word there, the rules that begin with it, and each such candidate is decided by one comparison of words.  A text's places are cut
-    to the longest phrase, so the work grows with words and candidates and not with texts times rules; texts are cut down to distinct
-    places first.  Null texts match nothing; a phrase without words matches nothing; of equal places the smallest category counts.
+    to the longest phrase, so the work grows with words and candidates and not with texts times rules; places are not gathered
+    before they are decided.  Null texts match nothing; a phrase without words matches nothing; of equal places the smallest category counts.
     """
     words = lambda value: F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     listed = rules.select("place", "category", words(F.col("phrase")).alias("phrase")).filter(F.size("phrase") > 0)
     listed = listed.withColumns({"first": F.get("phrase", F.lit(0)), "n": F.size("phrase")})
     longest = listed.agg(F.max("n").alias("longest"))
-    heads = listed.select("first").distinct()
     # One row: how far a phrase can reach.
     held = texts.select(ident, words(F.col(text)).alias("words")).filter(F.size("words") > 0).crossJoin(F.broadcast(longest))
     places = held.select(ident, F.explode(F.transform("words", lambda w, i: F.struct(w.alias("first"), F.slice("words", i + 1, F.col("longest")).alias("here")))).alias("p"))
-    places = places.select(ident, "p.first", "p.here").join(heads, "first", "left_semi").distinct()
-    found = places.join(listed, "first").filter(F.slice("here", F.lit(1), F.col("n")) == F.col("phrase"))
+    found = places.select(ident, "p.first", "p.here").join(listed, "first").filter(F.slice("here", F.lit(1), F.col("n")) == F.col("phrase"))
     best = found.groupBy(ident).agg(F.min(F.struct("place", "category")).alias("rule"))
     return best.select(ident, "rule.place", "rule.category")
 

@@ -195,3 +195,13 @@ def test_index_follows_removals_and_late_versions(spark, tmp_path, rocksdb):
     assert states == [{"a": "one", "b": "two", "c": "three", "d": "kept"}, {"c": "three", "d": "kept"}, {"c": "new", "d": "kept"}, {"b": "back", "c": "new", "d": "kept"}]
     changes = spark.read.parquet(f"{root}/pages").select("batch", "slug", "action").collect()
     assert sorted(map(tuple, changes))[4:] == [(1, "a", "updated"), (1, "b", "removed"), (2, "c", "updated"), (3, "b", "added")]
+
+
+def test_places_of_texts_are_not_shuffled(spark):
+    """Only found rules are gathered; the places of all texts stay in the task that reads them, also where a text repeats itself."""
+    texts = spark.createDataFrame([(1, "b c b c b c"), (2, "x y"), (3, None)], "id long, text string")
+    rules = spark.sql("SELECT * FROM VALUES (0, 'r', 'c b'), (1, 's', 'b c'), (2, 't', 'x') AS r(place, category, phrase)")
+    out = policy.rule_matches(texts, rules)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and ("here#" in line or "first#" in line)]
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "r"), (2, 2, "t")]
