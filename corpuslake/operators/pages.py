@@ -30,6 +30,9 @@ _PLAIN_CHROME = rf"(?i)<({'|'.join(t for t in fv.CHROME_TAGS if t != 'script' an
 _BARE_SIGN = r"<(?!/?[A-Za-z])"
 _TAG = r"""(?:</?[A-Za-z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>|</?[A-Za-z][^>]*+>)"""
 
+#: Characters of html that one task of the windows holds, whatever the size of the table.
+_TASK_CHARS = 8 << 20
+
 # Stand-ins for mark-up until the pieces are joined: noncharacters, which no text holds.
 _BREAK, _QUOTE, _LINE, _ROW, _HASH, _OPEN, _CLOSE, *_PAIRS = (chr(code) for code in range(0xFDD0, 0xFDDD))
 _ON, _OFF = dict(zip(("bold", "italic", "code"), _PAIRS[:3])), dict(zip(("bold", "italic", "code"), _PAIRS[3:]))
@@ -69,6 +72,12 @@ def _one(flag: Column) -> Column:
     return flag.cast("int")
 
 
+def _tasks(raw: DataFrame, html: str) -> int:
+    """As many tasks as the pages need, so that what one of them sorts does not grow with the table."""
+    chars = raw.agg(F.sum(F.length(F.col(html)))).first()[0] or 0
+    return max(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // _TASK_CHARS))
+
+
 def page_tags(raw: DataFrame, html: str = "html") -> DataFrame:
     """One row per tag of a page: ``__page, pos, tag, close, markup, text, mate, end, matched, row``.
 
@@ -83,7 +92,7 @@ def page_tags(raw: DataFrame, html: str = "html") -> DataFrame:
     first = F.array(F.struct(F.concat(F.lit("<page>"), lead).alias("token"), own.alias("row")))
     # The page's columns ride in one element, so they are not copied to every tag.
     rest = F.transform(found, lambda t: F.struct(t.alias("token"), F.lit(None).cast(raw.schema).alias("row")))
-    pages = raw.select(F.monotonically_increasing_id().alias("__page"), F.concat(first, rest).alias("tokens"))
+    pages = raw.select(F.monotonically_increasing_id().alias("__page"), F.concat(first, rest).alias("tokens")).repartition(_tasks(raw, html), "__page")
     tags = unnest(pages, ["__page"], F.col("tokens"), "t").select("__page", "pos", "t.token", "t.row", F.regexp_extract("t.token", f"^{_TAG}", 0).alias("markup"))
     tags = tags.select("__page", "pos", "row", "markup", F.expr("substring(token, length(markup) + 1)").alias("text"), F.col("markup").startswith("</").alias("close"),
                        F.lower(F.regexp_extract("markup", r"^</?([A-Za-z][^\s/>]*)", 1)).alias("tag"))

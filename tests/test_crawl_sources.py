@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import compare, pandas_rows
-from corpuslake.operators import crawl
+from corpuslake.operators import crawl, pages
 from corpuslake.operators.pages import extract_pages
 from corpuslake.sources import readers, schemas, writers
 
@@ -258,3 +258,12 @@ def test_urls_listed_more_than_once(spark, tmp_path, name):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     got = pandas_rows(entry.queries()[name](spark, str(tmp_path)))
     assert compare(got, con.execute(entry.oracle_sql()[name]).df()) is None
+
+
+def test_tasks_of_pages_grow_with_the_html(spark, monkeypatch):
+    """A task's share of the pages is bounded, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(pages, "_TASK_CHARS", 500, raising=False)
+    raw = spark.createDataFrame([(i, f"<body><h1>t{i}</h1><p>{'x' * 90}</p></body>") for i in range(100)], "page_id long, html string")
+    out = extract_pages(raw)
+    assert out.rdd.getNumPartitions() >= 20
+    assert sorted((r.page_id, r.title) for r in out.collect()) == [(i, f"t{i}") for i in range(100)]
