@@ -213,39 +213,59 @@ def expired_uploads(stream: DataFrame, key: str, ident: str, time: str, ttl_seco
 
 
 # ---------------------------------------------------------------- index upkeep
+#: Groups of pages whose hashes and versions are one state each; a call to the state store costs more than many rows of state.
+PAGE_GROUPS = 1024
+
+
 class PageVersions(StatefulProcessor):
-    """Keeps the content hash and version of each page, and passes on the newest row of a page that is new, changed or removed."""
+    """Keeps the content hashes and versions of a group of pages, and passes on the newest row of each that is new, changed or removed."""
 
     def __init__(self, version: str, removed: str | None):
         self.version, self.removed = version, removed
 
     def init(self, handle) -> None:
-        self.stored = handle.getValueState("stored", T.StructType([T.StructField("hash", T.StringType()), T.StructField("version", T.LongType())]))
+        self.stored = handle.getListState("stored", T.StructType([
+            T.StructField("page", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("version", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows), ignore_index=True).sort_values([self.version, "content_hash"], kind="stable").iloc[[-1]]
-        hash_, version = frame["content_hash"].iloc[0], int(frame[self.version].iloc[0])
-        before = self.stored.get() if self.stored.exists() else None
-        if before is not None and version < before[1]:
-            return
-        if self.removed and bool(frame[self.removed].iloc[0]):
-            if before is not None and before[0] is not None:
-                yield frame.assign(action="removed")
-            # The version stays, so that an older page that comes late does not return.
-            self.stored.update((None, version))
-            return
-        self.stored.update((hash_, version))
-        if before is None or before[0] != hash_:
-            yield frame.assign(action="added" if before is None or before[0] is None else "updated")
+        frame = pd.concat(list(rows), ignore_index=True).sort_values([self.version, "content_hash"], kind="stable")
+        frame = frame.drop_duplicates("index_page", keep="last")
+        known = {page: (hash_, version) for page, hash_, version in self.stored.get()} if self.stored.exists() else {}
+        gone = frame[self.removed].tolist() if self.removed else [False] * len(frame)
+        actions, moved = [], False
+        for page, hash_, version, out in zip(frame["index_page"], frame["content_hash"], map(int, frame[self.version]), gone):
+            before = known.get(page)
+            action = None
+            if before is None or version >= before[1]:
+                if out:
+                    action = "removed" if before is not None and before[0] is not None else None
+                elif before is None or before[0] != hash_:
+                    action = "added" if before is None or before[0] is None else "updated"
+                # The version of a removed page stays, so that an older one that comes late does not return.
+                known[page] = (None if out else hash_, version)
+                moved |= known[page] != before
+            actions.append(action)
+        if moved:
+            self.stored.put([(page, hash_, version) for page, (hash_, version) in known.items()])
+        changed = frame.assign(action=actions).drop(columns=["index_page", "index_group"])
+        yield changed[changed["action"].notna()]
 
     def close(self) -> None:
         pass
 
 
-def page_changes(pages: DataFrame, version: str = "version", removed: str | None = None) -> DataFrame:
-    """The pages of a stream that are new, changed or removed against the stored hashes, with an ``action``."""
-    out = T.StructType([*pages.schema.fields, T.StructField("action", T.StringType())])
-    return pages.groupBy("slug").transformWithStateInPandas(PageVersions(version, removed), out, "Append", "None")
+def page_changes(pages: DataFrame, version: str = "version", removed: str | None = None, groups: int = PAGE_GROUPS) -> DataFrame:
+    """The pages of a stream that are new, changed or removed against the stored hashes, with an ``action``.
+
+    ``groups`` is fixed for the life of a stream's checkpoint.
+    """
+    # Names with a leading underscore are lost on the way to a frame.  A frame holds many pages, and integers beside a null would become floats in it; so all but the version go as text.
+    whole = [f for f in pages.schema.fields if isinstance(f.dataType, T.IntegralType) and f.name != version]
+    text = pages.withColumns({"index_page": F.col("slug").cast("string"), "index_group": F.pmod(F.xxhash64("slug"), F.lit(groups)),
+                              **{f.name: F.col(f"`{f.name}`").cast("string") for f in whole}})
+    out = T.StructType([*[T.StructField(f.name, T.StringType()) if f in whole else f for f in pages.schema.fields], T.StructField("action", T.StringType())])
+    changed = text.groupBy("index_group").transformWithStateInPandas(PageVersions(version, removed), out, "Append", "None")
+    return changed.withColumns({f.name: F.col(f"`{f.name}`").cast(f.dataType) for f in whole})
 
 
 def maintain_index(pages: DataFrame, root: str, make_chunks: Callable[[DataFrame], DataFrame],
@@ -253,8 +273,8 @@ def maintain_index(pages: DataFrame, root: str, make_chunks: Callable[[DataFrame
     """Keep a chunk table current from a stream of (slug, content_hash, body, version, ...) pages.
 
     Of several versions of a page the one with the largest ``version`` counts, late older ones are passed over, and a page whose
-    ``removed`` column is true leaves the index.  Stored hashes are state per slug, so a batch reads the state of its own pages and not
-    the log.  A batch writes what changed to ``root/pages`` and the chunks made from it to ``root/rows``; replaying it overwrites both.
+    ``removed`` column is true leaves the index.  Stored hashes are state per group of slugs, so a batch reads the state of its own groups
+    and not the log.  A batch writes what changed to ``root/pages`` and the chunks made from it to ``root/rows``; replaying it overwrites both.
     """
     spark = pages.sparkSession
 

@@ -70,6 +70,53 @@ def test_index_follows_changes_only(spark, tmp_path):
     assert sorted((r.batch, r.slug) for r in jobs.read_log(spark, root).collect()) == [(0, "a"), (0, "b"), (1, "b"), (1, "c")]
 
 
+def test_pages_of_a_group_share_one_state():
+    import pandas as pd
+
+    class Kept(list):
+        calls = 0
+
+        def exists(self):
+            Kept.calls += 1
+            return bool(self)
+
+        def get(self):
+            Kept.calls += 1
+            return iter(list(self))
+
+        def put(self, rows):
+            Kept.calls += 1
+            self[:] = rows
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Kept()
+
+    def rows(versions, hash_, removed=False):
+        return pd.DataFrame([(str(i), v, f"{hash_}{i}", removed, str(i), 1) for i, v in versions],
+                            columns=["slug", "version", "content_hash", "removed", "index_page", "index_group"])
+
+    pages = jobs.PageVersions("version", "removed")
+    pages.init(Handle())
+    run = lambda *frames: {r.slug: r.action for f in pages.handleInputRows((1,), iter(frames), None) for r in f.itertuples()}
+    assert run(rows([(i, 1) for i in range(300)], "a"), rows([(i, 2) for i in range(300)], "b")) == {str(i): "added" for i in range(300)}
+    assert Kept.calls <= 3
+    assert run(rows([(i, 1) for i in range(300)], "a")) == {}
+    assert run(rows([(0, 3)], "b"), rows([(1, 3)], "c"), rows([(2, 3)], "b", True)) == {"1": "updated", "2": "removed"}
+    assert run(rows([(2, 2)], "b")) == {} and run(rows([(2, 4)], "b")) == {"2": "added"}
+
+
+def test_index_groups_keep_wide_and_null_values(spark, tmp_path):
+    data, root = tmp_path / "in", str(tmp_path / "out")
+    schema = "slug long, content_hash string, body string, version int, removed boolean, size long"
+    wide = 2 ** 53 + 1
+    kind = feed(spark, data, [(wide, "1", "one", 1, False, None), (wide + 1, "2", "two", 1, None, wide), (None, "3", "three", 1, False, 5)], schema=schema)
+    changes = jobs.page_changes(jobs.read_stream(spark, str(data), kind), removed="removed", groups=1)
+    jobs.run_to_log(changes, root)
+    got = {(r.slug, r.body, r.size, r.action) for r in jobs.read_log(spark, root).collect()}
+    assert got == {(wide, "one", None, "added"), (wide + 1, "two", wide, "added"), (None, "three", 5, "added")}
+
+
 def test_windows_drop_late_rows(spark, tmp_path):
     data, root = tmp_path / "in", str(tmp_path / "out")
     schema = "ts timestamp, k string, value double"
