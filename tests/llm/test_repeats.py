@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -6,7 +7,7 @@ import pytest
 
 from corpuslake.llm import repeats
 from corpuslake.llm.substring_dedup import SuffixAutomaton, substring_dedup
-from corpuslake.llm.suffix_dedup import suffix_dedup
+from corpuslake.llm.suffix_dedup import decide, suffix_dedup
 
 
 def plain(rows, length, words):
@@ -46,3 +47,22 @@ def test_automaton_counts_occurrences():
     automaton.add("bca", 1)
     automaton.finish()
     assert list(automaton.matching("ab", 2)) == [(1, 5), (2, 4)]
+
+
+def test_common_passage_is_not_split_into_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 20)
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    common = text(400)
+    rows = [(i, text(100) + common + text(100)) for i in range(60)] + [(60, "ab" * 200), (61, common[200:] + text(50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, spans = repeats.repeated_spans(repeats.C.keyed(docs), repeats.Unit(False, 80, 16), decide, 1 << 20)
+    assert sum(len(r["spans"]) for r in spans.collect()) < 60 * (400 - 80 + 1) // 3
+    got = [(r["doc_id"], r["n_tokens"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup(docs, 80, 16).collect()]
+    assert sorted(got, key=str) == plain(rows, 80, False)
+
+
+def test_lone_window_is_not_compared():
+    unit = repeats.Unit(False, 4, 2)
+    assert repeats._open(unit, [(1, {b"abcd": [1, 7]}), (2, {b"abcde": [2, 7]}), (3, {b"ababa": [1, 7]})]) == {3: {b"ababa": 1}}
+    assert list(repeats._settle(unit, {b"abcd": [1, 7]}, None)) == [] and list(repeats._settle(unit, {b"abcd": [2, 7]}, None)) == [(7, [0, 1])]
