@@ -29,10 +29,12 @@ from .decontamination import bit_filter
 _NINTH = 9
 #: Bytes of a sketch: the parity of the number of elements in each of as many buckets as it has bits.
 _SKETCH = 128
+#: Sets of so many elements have a wider sketch besides, of so many bytes: the narrow one is full when a thousand elements differ.
+_LARGE, _WIDE = 1000, 1024
 #: Sets a task remembers, so that copies sign once.
 _SEEN = 500_000
 
-_MEMBER = pa.schema([("did", pa.int64()), ("dn", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary())])
+_MEMBER = pa.schema([("did", pa.int64()), ("dn", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("wide", pa.binary())])
 _GROUP = pa.schema([("gid", pa.int64()), ("sid", pa.int64()), ("rep", pa.int64())])
 _FOUND = pa.schema([("gid", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 #: Sets of a group that one task compares; a larger group is cut into blocks of about as many.
@@ -90,12 +92,20 @@ class Sets:
             total, mixed = np.add.reduceat(self.hash, at), np.bitwise_xor.reduceat(C.mix(self.hash), at)
             self.sid[full] = C.mix(total + C.mix(mixed + self.size[full].astype(np.uint64)))
 
-    def sketches(self) -> list[bytes]:
+    def sketches(self, size: int = _SKETCH) -> list[bytes]:
         """One bit per bucket of hashes: whether the set has an odd number of elements there."""
-        bits = 8 * _SKETCH
+        bits = 8 * size
         cell = self.doc * bits + (self.hash & np.uint64(bits - 1)).astype(np.int64)
         odd = np.packbits((np.bincount(cell, minlength=len(self.size) * bits) & 1).astype(bool)).tobytes()
-        return [odd[i:i + _SKETCH] for i in range(0, len(odd), _SKETCH)]
+        return [odd[i:i + size] for i in range(0, len(odd), size)]
+
+    def wide_sketches(self) -> list[bytes]:
+        """Wider sketches of large sets, empty for the others."""
+        large = np.flatnonzero(self.size >= _LARGE)
+        out = [b""] * len(self.size)
+        for i, sketch in zip(large.tolist(), self.take(large).sketches(_WIDE) if len(large) else ()):
+            out[i] = sketch
+        return out
 
     def take(self, docs: np.ndarray) -> Sets:
         """The sets of some texts."""
@@ -148,7 +158,7 @@ def _members(n: int):
         for part in C.slices(rows, "text"):
             sets = Sets(C.column_bytes(part, "text"), n)
             out.append((part.column("did").to_numpy(), part.column("dn").to_numpy(), sets.size.astype(np.int64), C.signed(sets.sid),
-                        C.signed(_row_keys(part)), np.array(sets.sketches(), object)))
+                        C.signed(_row_keys(part)), np.array(sets.sketches(), object), np.array(sets.wide_sketches(), object)))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out), _MEMBER.types)], schema=_MEMBER)
     return C.per_batch(batch)
 
@@ -230,14 +240,19 @@ def _may_link(n_a, n_b, sketch_a, sketch_b) -> np.ndarray:
     return _NINTH * apart <= n_a + n_b
 
 
-def _bytes_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, _SKETCH // 8)
+def _bytes_matrix(column: pa.Array, size: int = _SKETCH) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, size // 8)
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            ok = _may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), _bytes_matrix(batch.column("k_a")), _bytes_matrix(batch.column("k_b")))
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            ok = _may_link(n_a, n_b, _bytes_matrix(batch.column("k_a")), _bytes_matrix(batch.column("k_b")))
+            large = np.flatnonzero(ok & (np.minimum(n_a, n_b) >= _LARGE))
+            if len(large):
+                w_a, w_b = (_bytes_matrix(batch.column(c).take(pa.array(large)), _WIDE) for c in ("w_a", "w_b"))
+                ok[large] = _may_link(n_a[large], n_b[large], w_a, w_b)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
@@ -394,7 +409,7 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def _verified(rows: DataFrame, n: int, pairs: DataFrame, brief: DataFrame) -> DataFrame:
     """The linked pairs among ``(a, b)``: sketches rule most others out, and the sets of the rest are made again from the texts."""
-    side = lambda c: brief.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"))
+    side = lambda c: brief.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"), F.col("wide").alias(f"w_{c}"))
     likely = C.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long"))
     asked = likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = bit_filter(asked.join(brief, "sid"), "key")
@@ -414,13 +429,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
     ``block`` bounds the sets of a group that one task holds; it does not change the result.
     """
     rows = C.keyed(docs, id_col, text_col)
-    members = C.stored(rows.mapInArrow(_members(n), "did long, dn long, n long, sid long, key long, sketch binary").dropDuplicates(["did", "dn"]))
+    members = C.stored(rows.mapInArrow(_members(n), "did long, dn long, n long, sid long, key long, sketch binary, wide binary").dropDuplicates(["did", "dn"]))
     signed = rows.mapInArrow(_signatures(n), "sig long, sid long")
     groups = C.stored(signed.repartition("sig").mapInArrow(_groups, "gid long, sid long, rep long").dropDuplicates(["gid", "sid"]))
     # One row per set that shares a signature; the row of the smallest key stands for its copies.
-    chosen = F.min_by(F.struct("n", "sketch"), "key")
+    chosen = F.min_by(F.struct("n", "sketch", "wide"), "key")
     brief = C.stored(members.join(groups.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
-        F.min("key").alias("key"), chosen.alias("s")).select("sid", "key", "s.n", "s.sketch"))
+        F.min("key").alias("key"), chosen.alias("s")).select("sid", "key", "s.n", "s.sketch", "s.wide"))
     # First every set with the smallest one it shares a signature with, then groups' smallest across components, then the rest.
     stars = groups.filter("sid != rep").groupBy("sid", "rep").agg(F.count(F.lit(1)).alias("n"))
     nearest = stars.groupBy(F.col("sid").alias("b")).agg(F.min("rep").alias("a")).select("a", "b")

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -348,3 +349,20 @@ def test_low_quality_rows_leave_with_their_own_columns(spark):
     assert out.columns == docs.columns
     got = out.collect()
     assert {r["doc_id"] for r in got} == plain_verdicts([r[:4] for r in rows]) and {(r["n_words"], r["kept"]) for r in got} == {(-1, "mine")}
+
+
+def test_wide_sketches_tell_large_sets_apart():
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(6000)]
+    near = words[:3000] + ["other"] + words[3001:6000]
+    texts = [" ".join(t).encode() for t in (words, near, [f"v{rnd.randrange(10**6)}" for _ in range(6000)], ["few", "words"])]
+    sets = ngram_join.Sets(texts, 5)
+    narrow, wide = sets.sketches(), sets.wide_sketches()
+    assert [len(w) for w in wide] == [1024, 1024, 1024, 0]
+    pairs = [(0, 1), (0, 2), (3, 3)]
+    assert ngram_join._may_link(sets.size[0], sets.size[2], *(np.frombuffer(narrow[i], np.uint64) for i in (0, 2)))
+    rows = pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], **{
+        f"{name}_{side}": pa.array([values[p[i]] for p in pairs], kind) for i, side in enumerate("ab")
+        for name, values, kind in (("n", sets.size.tolist(), pa.int64()), ("k", narrow, pa.binary()), ("w", wide, pa.binary()))}})
+    found = pa.Table.from_batches(ngram_join._likely(iter(rows.to_batches()))).to_pylist()
+    assert [(r["a"], r["b"]) for r in found] == [(0, 1), (3, 3)]
