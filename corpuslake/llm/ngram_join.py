@@ -33,6 +33,8 @@ _SKETCH = 128
 _LARGE, _WIDE = 1000, 1024
 #: Sets a task remembers, so that copies sign once.
 _SEEN = 500_000
+#: Bytes of texts whose sets are made at once.
+_SLICE = 1 << 20
 
 _MEMBER = pa.schema([("did", pa.int64()), ("dn", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("wide", pa.binary())])
 _GROUP = pa.schema([("gid", pa.int64()), ("sid", pa.int64()), ("rep", pa.int64())])
@@ -155,7 +157,7 @@ def _row_keys(part: pa.RecordBatch) -> np.ndarray:
 def _members(n: int):
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for part in C.slices(rows, "text"):
+        for part in C.slices(rows, "text", _SLICE):
             sets = Sets(C.column_bytes(part, "text"), n)
             out.append((part.column("did").to_numpy(), part.column("dn").to_numpy(), sets.size.astype(np.int64), C.signed(sets.sid),
                         C.signed(_row_keys(part)), np.array(sets.sketches(), object), np.array(sets.wide_sketches(), object)))
@@ -167,7 +169,7 @@ def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in C.slices(batch, "text"):
+            for part in C.slices(batch, "text", _SLICE):
                 sets = Sets(C.column_bytes(part, "text"), n)
                 _, once = np.unique(sets.sid, return_index=True)
                 fresh = np.array([i for i in np.sort(once).tolist() if sets.size[i] and int(sets.sid[i]) not in seen], np.int64)
@@ -223,7 +225,7 @@ def _sets_of(n: int, wanted):
         seen: set[int] = set()
         for batch in batches:
             batch = batch.filter(pa.array(wanted.holds(_row_keys(batch))))
-            for part in C.slices(batch, "text") if batch.num_rows else ():
+            for part in C.slices(batch, "text", _SLICE) if batch.num_rows else ():
                 sets = Sets(C.column_bytes(part, "text"), n)
                 sids = C.signed(sets.sid).tolist()
                 some = [i for i in np.flatnonzero(sets.size).tolist() if sids[i] not in seen]
@@ -306,7 +308,7 @@ class _Forests:
         return np.concatenate(taken), len(left) > 0
 
 
-def _across(count: int | None, block: int = 1024, step: int = 1 << 14):
+def _across(count: int | None, block: int = 512, step: int = 1 << 14):
     """Likely pairs of different components within a unit, as ``count`` forests a task (None: every one); a row without a
     pair names a group with more.  Units ``(gid, low, high)`` arrive whole, sorted by size within."""
     def likely(n, comp, sketch):
@@ -317,12 +319,12 @@ def _across(count: int | None, block: int = 1024, step: int = 1 << 14):
                     break
                 y = slice(k, k + block)
                 a, b = np.nonzero((comp[x, None] != comp[None, y]) & (4 * n[None, y] <= 5 * n[x, None]) & (4 * n[x, None] <= 5 * n[None, y]))
-                for c in range(0, len(a), 1 << 18):
-                    p, q = a[c:c + (1 << 18)] + i, b[c:c + (1 << 18)] + k
+                for c in range(0, len(a), step):
+                    p, q = a[c:c + step] + i, b[c:c + step] + k
                     ok = np.flatnonzero(p < q)
                     ok = ok[_may_link(n[p[ok]], n[q[ok]], sketch[p[ok]], sketch[q[ok]])]
-                    for d in range(0, len(ok), step):
-                        yield p[ok[d:d + step]], q[ok[d:d + step]]
+                    if len(ok):
+                        yield p[ok], q[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -366,3 +367,24 @@ def test_wide_sketches_tell_large_sets_apart():
         for name, values, kind in (("n", sets.size.tolist(), pa.int64()), ("k", narrow, pa.binary()), ("w", wide, pa.binary()))}})
     found = pa.Table.from_batches(ngram_join._likely(iter(rows.to_batches()))).to_pylist()
     assert [(r["a"], r["b"]) for r in found] == [(0, 1), (3, 3)]
+
+
+def test_a_task_of_the_join_holds_little():
+    """Blocks of a group, and the sets of a batch of long texts, are taken in small steps."""
+    def peak(batches):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in batches)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, most / 1e6
+
+    m, rnd = 2048, random.Random(3)
+    group = pa.RecordBatch.from_arrays([pa.array([7] * m), pa.array([0] * m), pa.array([0] * m), pa.array([900] * m), pa.array(range(m)), pa.array(range(m)),
+                                        pa.array([bytes(128)] * m)], ["gid", "low", "high", "n", "sid", "comp", "sketch"])
+    rows, most = peak(ngram_join._across(1)(iter([group])))
+    assert rows and most < 40
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=3000)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array(texts)], ["did", "dn", "text"])
+    rows, most = peak(ngram_join._members(5)(iter([batch])))
+    assert rows == 400 and most < 150
