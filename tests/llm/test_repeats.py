@@ -66,3 +66,16 @@ def test_lone_window_is_not_compared():
     unit = repeats.Unit(False, 4, 2)
     assert repeats._open(unit, [(1, {b"abcd": [1, 7]}), (2, {b"abcde": [2, 7]}), (3, {b"ababa": [1, 7]})]) == {3: {b"ababa": 1}}
     assert list(repeats._settle(unit, {b"abcd": [1, 7]}, None)) == [] and list(repeats._settle(unit, {b"abcd": [2, 7]}, None)) == [(7, [0, 1])]
+
+
+def test_texts_are_dealt_once_and_pieces_counted_where_read(spark):
+    docs = repeats.C.keyed(spark.createDataFrame([(i, "abcdefgh " * 30) for i in range(60)], "doc_id long, text string"))
+    unit = repeats.Unit(False, 80, 16)
+    out = repeats.removed(docs, unit, decide, 1 << 20)
+    plan = re.sub(r"#\d+L?", "", out._jdf.queryExecution().optimizedPlan().toString()).splitlines()
+    dealt = [plan[i + 1].strip(" :+-") for i, line in enumerate(plan) if "RepartitionByExpression [did, dn]" in line]
+    assert len(dealt) > 1 and len(set(dealt)) == 1  # one exchange, used again
+    every = repeats.BitFilter(range(1 << 22))
+    batch = docs.coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    counted = lambda rows: {(r["key"], r["ctx"]): r["n"] for b in repeats._finer_counts(unit, every)(iter(rows)) for r in b.to_pylist()}
+    assert counted([batch]) == {k: batch.num_rows * n for k, n in counted([batch.slice(0, 1)]).items()}
