@@ -63,7 +63,7 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, id_col: str):
                 start += length
         row, *rest = [pa.array(list(x), t) for x, t in zip(zip(*out), _PIECE.types)]
         return pa.RecordBatch.from_arrays([rows.column(id_col).take(row), *rest], [id_col, *_PIECE.names[1:]])
-    return C.per_batch(batch)
+    return C.per_batch(batch, end=Encoder.rest)
 
 
 def harmonic_packing(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .decontamination import bit_filter
+from .tokens import Encoder
 
 #: Linked: 100 * intersection >= 80 * union, so at most a ninth of both sizes differs.
 _NINTH = 9
@@ -33,8 +34,8 @@ _SKETCH = 128
 _LARGE, _WIDE = 1000, 1024
 #: Sets a task remembers, so that copies sign once.
 _SEEN = 500_000
-#: Bytes of texts whose sets are made at once.
-_SLICE = 1 << 20
+#: Bytes of texts whose sets are made at once; a worker holds some sixty times as many besides what it keeps.
+_SLICE = 1 << 18
 
 _MEMBER = pa.schema([("did", pa.int64()), ("dn", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("wide", pa.binary())])
 _GROUP = pa.schema([("gid", pa.int64()), ("sid", pa.int64()), ("rep", pa.int64())])
@@ -120,7 +121,7 @@ class Sets:
 
     def signatures(self) -> tuple[np.ndarray, np.ndarray]:
         """``(signature, text)`` rows; every set signs for its own band and for the next."""
-        low, parts, spare = bands(int(self.size.max()) if len(self.size) else 1)
+        low, parts, spare = bands(1 << int(self.size.max(initial=1)).bit_length())  # few different tables are made and kept
         band = np.searchsorted(low, self.size, side="right") - 1
         out_sig, out_doc = [], []
         for step in (0, 1):
@@ -162,11 +163,12 @@ def _members(n: int):
             out.append((part.column("did").to_numpy(), part.column("dn").to_numpy(), sets.size.astype(np.int64), C.signed(sets.sid),
                         C.signed(_row_keys(part)), np.array(sets.sketches(), object), np.array(sets.wide_sketches(), object)))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out), _MEMBER.types)], schema=_MEMBER)
-    return C.per_batch(batch)
+    return C.per_batch(batch, begin=Encoder.release)  # a worker may come from packing
 
 
 def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         seen: set[int] = set()
         for batch in batches:
             for part in C.slices(batch, "text", _SLICE):

@@ -45,6 +45,7 @@ def _frames(path: str, end_id: int, frame_ids: int, id_col: str):
                     held, n, frame = [], 0, frame + 1
         if held:
             yield row()
+        Encoder.rest()
     return run
 
 

@@ -15,7 +15,7 @@ import numpy as np
 
 _OTHER_SPACE = re.compile(r"\s\s|[^\S \n]")
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
-#: Pieces kept per worker, about 250 bytes each; an older half is dropped when a younger one is full.
+#: Pieces kept per worker, about 250 bytes each; an older half is dropped when a younger one is full, and at a task's end.
 _CACHE_LIMIT = 1_000_000
 #: Pieces of one joined run, and of one call.
 _RUN, _TURN = 100, 20_000
@@ -32,6 +32,17 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    @classmethod
+    def rest(cls) -> None:
+        """At the end of a task: drop the older pieces, since an idle worker lives on."""
+        for kept in cls._kept.values():
+            kept.older = {}
+
+    @classmethod
+    def release(cls) -> None:
+        """Drop all that is kept, for an operator that goes on in a worker which has encoded before."""
+        cls._kept.clear()
+
     def __init__(self, path: str):
         import os
 
